@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["runs", "boilerplate"]
+NAMES = ["runs", "boilerplate", "tokens", "mixing"]
 
 
 def modules() -> list:
