@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation"]
+NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation", "personal"]
 
 
 def modules() -> list:
