@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation", "personal"]
+NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation", "personal", "scans"]
 
 
 def modules() -> list:
