@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation", "personal", "scans"]
+NAMES = ["runs", "boilerplate", "tokens", "mixing", "truncation", "personal", "scans", "neardup"]
 
 
 def modules() -> list:
