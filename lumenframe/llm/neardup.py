@@ -36,8 +36,9 @@ FIRST_DEPTH, FULL_DEPTH = 4, 8
 REGION = 24
 #: Representatives in a full-depth region beyond which it is compared in blocks by many tasks.
 SPREAD = 20_000
-#: Signature bits (of 56) that may differ: those of similarity 0.8 differ in 5.6, with a deviation of 2.2.
-SKETCH_BITS, SKETCH_DIFFER = 56, 17
+#: Two bits of 56 signature bytes and one of 8 are compared: at similarity 0.8 12 of the 120 bits differ on average,
+#: with a deviation of 3.9, so one true pair in some ten thousand at the very threshold differs in more than this.
+SKETCH_BITS, SKETCH_DIFFER = 56, 27
 WORD = re.compile(r"[^\W_]+")
 
 _random = np.random.default_rng(7919)
@@ -117,6 +118,8 @@ def _orders(batches):
         bits = (signature[:, :SKETCH_BITS] & 1).astype(np.uint64)
         scale = np.minimum(255, np.round(32 * np.log(sizes))).astype(np.uint64)
         sketch = ((bits * weights).sum(axis=1) << np.uint64(8)) | scale
+        bits = np.concatenate([signature[:, :SKETCH_BITS] >> 1 & 1, signature[:, SKETCH_BITS:] & 1], axis=1).astype(np.uint64)
+        second = (bits << np.arange(SIGNATURE, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         for start in range(0, rows, 4096):
             part = slice(start, start + 4096)
             keys = []
@@ -133,14 +136,15 @@ def _orders(batches):
                     pa.array(np.concatenate(keys).view(np.int64)),
                     pa.array(np.tile(ids[part], TREES)),
                     pa.array(np.tile(sketch[part].view(np.int64), TREES)),
+                    pa.array(np.tile(second[part].view(np.int64), TREES)),
                 ],
-                names=["key", "id", "sketch"],
+                names=["key", "id", "sketch", "second"],
             )
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _agree(x, y, x2, y2):
     """Whether two sketches may belong to sets of the wanted similarity."""
-    differ = np.bitwise_count((x ^ y) >> np.uint64(8)) <= SKETCH_DIFFER
+    differ = np.bitwise_count((x ^ y) >> np.uint64(8)) + np.bitwise_count(x2 ^ y2) <= SKETCH_DIFFER
     a, b = (x & np.uint64(255)).astype(np.int16), (y & np.uint64(255)).astype(np.int16)
     return differ & (np.abs(a - b) <= 8)  # 32 ln(1 / 0.8) is 7.1
 
@@ -173,13 +177,11 @@ def _depths(key: np.ndarray, levels, limit: int) -> tuple[np.ndarray, np.ndarray
     return label, size
 
 
-def _emit(a, b, key=None, sketch=None):
-    n = len(a)
-    empty = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(b) if b is not None else empty, pa.array(key) if key is not None else empty, pa.array(sketch) if sketch is not None else empty],
-        names=["a", "b", "key", "sketch"],
-    )
+def _emit(*columns):
+    """a, b of a pair, or a, null, key, sketch, second of a row of a region too large for one task."""
+    empty = pa.nulls(len(columns[0]), pa.int64())
+    arrays = [empty if c is None else pa.array(c) for c in columns] + [empty] * (5 - len(columns))
+    return pa.RecordBatch.from_arrays(arrays, names=["a", "b", "key", "sketch", "second"])
 
 
 def _grouped(batches, shift: int):
@@ -205,26 +207,26 @@ def _grouped(batches, shift: int):
 def _text_candidates(batches):
     """Candidate pairs of each tree; rows of a full-depth region too large for one task come out as they are."""
     levels = [32 - 8 * d for d in range(FULL_DEPTH - FIRST_DEPTH + 1)]
-    for signed, ids, sketches in _grouped(batches, 32):
-        key, sketch = signed.view(np.uint64), sketches.view(np.uint64)
+    for signed, ids, sketches, seconds in _grouped(batches, 32):
+        key, sketch, second = signed.view(np.uint64), sketches.view(np.uint64), seconds.view(np.uint64)
         label, size = _depths(key, levels, REGION)
         far = size > SPREAD
         if far.any():
-            yield _emit(ids[far], None, signed[far], sketches[far])
+            yield _emit(ids[far], None, signed[far], sketches[far], seconds[far])
         near = ~far
-        label, ids, sketch, size = label[near], ids[near], sketch[near], size[near]
+        label, ids, sketch, second, size = label[near], ids[near], sketch[near], second[near], size[near]
         if not len(label):
             continue
-        for i, j in _neighbours(label, lambda i, j, s=sketch: _agree(s[i], s[j]), int(size.max())):
+        for i, j in _neighbours(label, lambda i, j, s=sketch, r=second: _agree(s[i], s[j], r[i], r[j]), int(size.max())):
             yield _emit(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]))
 
 
-_PAIR = "a long, b long, key long, sketch long"
+_PAIR = "a long, b long, key long, sketch long, second long"
 
 
 def _blockwise(far: DataFrame, check_name: str) -> DataFrame:
     """Pairs within regions of any size: rows go to blocks by hash, each pair of blocks of a region is one group."""
-    checks = {"text": _agree, "hash": _close}
+    checks = {"text": _agree, "hash": lambda x, y, x2, y2: _close(x, y)}
     sizes = far.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.greatest(F.lit(2), F.ceil(F.col("n") / F.lit(SPREAD / 4))).cast("int")
     rows = far.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
@@ -233,13 +235,14 @@ def _blockwise(far: DataFrame, check_name: str) -> DataFrame:
 
     def compare(keys, table: pa.Table) -> pa.Table:
         ids, sketch = np.asarray(table["a"]), np.asarray(table["sketch"]).view(np.uint64)
+        second = np.asarray(table["second"]).view(np.uint64)
         mine = np.asarray(table["mine"])
         x, y = keys[1].as_py(), keys[2].as_py()
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         out_a, out_b = [], []
         for i in left:
             others = right[ids[right] > ids[i]] if x == y else right
-            hit = others[checks[check_name](sketch[i], sketch[others])]
+            hit = others[checks[check_name](sketch[i], sketch[others], second[i], second[others])]
             out_a.append(np.minimum(ids[i], ids[hit]))
             out_b.append(np.maximum(ids[i], ids[hit]))
         a = np.concatenate(out_a) if out_a else np.array([], dtype=np.int64)
@@ -286,11 +289,11 @@ def text_links(texts: DataFrame, key: str = "id", text: str = "text") -> tuple[D
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.collect_set("id").alias("ids")
     )
     classes = materialize(grouped.select("rep", "n", "signature", "ids"))
-    orders = classes.select(F.col("rep").alias("id"), "n", "signature").mapInArrow(_orders, "key long, id long, sketch long")
+    orders = classes.select(F.col("rep").alias("id"), "n", "signature").mapInArrow(_orders, "key long, id long, sketch long, second long")
     orders = orders.repartition(shuffle_partitions(spark), F.shiftright("key", 32)).sortWithinPartitions("key")
     candidates = materialize(orders.mapInArrow(_text_candidates, _PAIR))
     pairs = candidates.where(F.col("b").isNotNull()).select("a", "b")
-    far = candidates.where(F.col("b").isNull()).select("a", "key", "sketch")
+    far = candidates.where(F.col("b").isNull()).select("a", "key", "sketch", "second")
     if far.limit(1).count():
         pairs = pairs.unionByName(_blockwise(far, "text"))
     pairs = pairs.where(F.col("a") < F.col("b")).distinct()
@@ -376,7 +379,7 @@ def _hash_pairs(batches):
         for r in np.flatnonzero(sizes > 256):
             index = np.arange(edges[r], edges[r + 1])
             if len(index) > SPREAD:
-                yield _emit(ids[index], None, signed[index], hashes[index])
+                yield _emit(ids[index], None, signed[index], hashes[index], hashes[index])
                 continue
             for i, j in _within(values, _FIRST_MASKS[trees[index[0]]], index, 0):
                 x, y = ids[i], ids[j]
@@ -399,7 +402,7 @@ def hash_links(captures: DataFrame, key: str = "capture_id", phash: str = "phash
     orders = orders.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     found = materialize(orders.mapInArrow(_hash_pairs, _PAIR))
     pairs = found.where(F.col("b").isNotNull()).select("a", "b")
-    far = found.where(F.col("b").isNull()).select("a", "key", "sketch")
+    far = found.where(F.col("b").isNull()).select("a", "key", "sketch", "second")
     if far.limit(1).count():
         pairs = pairs.unionByName(_blockwise(far, "hash"))
     links = materialize(pairs.where(F.col("a") < F.col("b")).distinct())
