@@ -1,3 +1,3 @@
 """Registered queries and their equivalent SQL."""
 
-CORE_MODULES = ["lumenframe.plans.session_queries", "lumenframe.plans.frame_queries", "lumenframe.plans.text_queries"]
+CORE_MODULES = ["lumenframe.plans.session_queries", "lumenframe.plans.frame_queries", "lumenframe.plans.text_queries", "lumenframe.plans.store_queries"]

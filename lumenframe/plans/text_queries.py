@@ -94,7 +94,7 @@ SEARCHES = {
     "fts_prefix": "light*",
     "fts_column": "window_title : lighthouse",
     "fts_phrase": '"payroll audit"',
-    "fts_near": "NEAR(payroll needs, 3)",
+    "fts_near": "NEAR(payroll needs, 4)",
     "fts_first": "^when + the",
 }
 
@@ -247,7 +247,7 @@ def _seq(words: list[str], columns=_COLS) -> str:
 
 _TERM = {w: _hits(f"x = '{w}'") for w in ("lighthouse", "sudden", "migration", "telescope", "turbine", "payroll", "needs")}
 _NEAR = "CASE WHEN " + " OR ".join(
-    f"len(list_filter(range(1, len(t_{c}) + 1), lambda i: t_{c}[i] = 'payroll' AND list_contains(t_{c}[greatest(1, i - 4):i + 4], 'needs'))) > 0" for c in _COLS
+    f"len(list_filter(range(1, len(t_{c}) + 1), lambda i: t_{c}[i] = 'payroll' AND list_contains(t_{c}[greatest(1, i - 5):i + 5], 'needs'))) > 0" for c in _COLS
 ) + " THEN 1 ELSE 0 END"
 
 SQL = {
