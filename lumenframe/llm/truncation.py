@@ -42,7 +42,8 @@ MARKER = re.compile(
 CLOSED = re.compile(r"[.?!。！？।؟։።︒｡‼⁇⁈⁉]['\"”’»)\]*_]*$")
 LIST = re.compile(r"^\s*(?:[-*•·–+]|\d{1,3}[.)]|[a-z][.)])\s+\S")
 CODE = re.compile(r"^(?:\t| {2,})\S|^(?:def|class|import|from|return|for|if|while|SELECT|INSERT|#include)\b.*[:;(){}\]]\s*$|[{};]\s*$")
-TABLE = re.compile(r"^[^|]*\S\s*\|\s*\S.*$")
+#: A row of short cells; a long one is running text that follows a table.
+TABLE = re.compile(r"^\s*\|?\s*[^|\n]{1,40}(?:\s*\|\s*[^|\n]{1,40})+\s*\|?\s*$")
 LINK = re.compile(r"^[a-z][a-z0-9+.-]*://[^\s/]+\.[^\s/.]{2,}(?:/\S*)?$", re.I)
 SIGN_OFF = re.compile(r"^(?:--|—|–)\s*\S|^\((?:[^()]*)\)$")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
