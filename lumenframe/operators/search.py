@@ -343,7 +343,8 @@ def with_snippets(found: DataFrame, query: str, stemmed: bool = True, plain: boo
         tests = [(lambda t, w=w, pre=pre: norm(t).startswith(norm(w)) if pre else norm(t) == norm(w)) for w, pre in words]
         return _snippet(value, tests)
 
-    return found.withColumn("text", snippet("text"))
+    # Not deterministic as far as Catalyst knows: filters on snippets must not be pushed below the join to all frames.
+    return found.withColumn("text", snippet.asNondeterministic()("text"))
 
 
 def search(frames: DataFrame, query: str, limit: int = 20, stemmed: bool = True, plain: bool = False) -> DataFrame:
