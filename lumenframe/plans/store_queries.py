@@ -103,7 +103,14 @@ def stream_prepared(spark, sf_dir):
 
 
 def stream_focus(spark, sf_dir):
-    return _run_complete(spark, pipeline.focus_by_window(pipeline.with_event_time(_stream(spark, sf_dir))))
+    found = _run_complete(spark, pipeline.focus_by_window(pipeline.with_event_time(_stream(spark, sf_dir))))
+    return found.withColumn("window_start", F.unix_seconds("window_start"))
+
+
+def session_window_native(spark, sf_dir):
+    """Sessions of stored frames by the engine's own session window, as the streams use it."""
+    stamped = F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("long"))
+    return pipeline.sessions(_frames(spark, sf_dir).withColumn("ts", stamped), session_gap_seconds(spark, sf_dir))
 
 
 def stream_sessions(spark, sf_dir):
@@ -130,6 +137,7 @@ QUERIES = {
     "natural_time_range": natural_time_range,
     "latest_insights": lambda spark, d: M.latest_insights(read_table(spark, d, "user_insights")),
     "mood_by_state": lambda spark, d: M.mood_by_state(read_table(spark, d, "mood_energy_log")),
+    "session_window_native": session_window_native,
     "stream_prepared": stream_prepared,
     "stream_focus": stream_focus,
     "stream_sessions": stream_sessions,
@@ -139,6 +147,11 @@ QUERIES = {
 
 _N = '(SELECT max("timestamp") + 1 FROM frames)'
 
+_BY_GAP = """WITH r AS (SELECT user_id, "timestamp" AS t, "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp") AS d FROM {table}),
+    s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > (SELECT max(session_gap_minutes) * 60 FROM config) THEN 1 ELSE 0 END)
+      OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM r)
+    SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS frame_count FROM s GROUP BY user_id, n"""
+
 SQL = {
     "compress_old": f"""SELECT id, CASE WHEN "timestamp" < {_N} - 3 * 86400 AND len(text) > 500 AND NOT starts_with(text, 'ENC:') THEN substring(text, 1, 500) ELSE text END AS text FROM frames""",
     "compress_report": f"""SELECT count(*) AS compressed, coalesce(sum(len(text) - 500), 0)::BIGINT AS characters_saved FROM frames
@@ -152,10 +165,9 @@ SQL = {
         row_number() OVER (PARTITION BY lower(trim(category)), key ORDER BY coalesce(last_updated, '-inf'::DOUBLE) DESC, id DESC) AS n FROM user_insights) WHERE n = 1""",
     "mood_by_state": """SELECT mood_state, count(*) AS entries, round(avg(level), 6) AS mean_level FROM (SELECT DISTINCT "timestamp",
         CASE WHEN energy_level BETWEEN 0 AND 1 THEN energy_level END AS level, lower(trim(coalesce(mood_state, ''))) AS mood_state, source, context_json FROM mood_energy_log) GROUP BY 1""",
-    "stream_focus": """SELECT user_id, app_name, time_bucket(INTERVAL 10 minutes, make_timestamp(("timestamp" * 1000000)::BIGINT))::TIMESTAMPTZ AS window_start,
+    "stream_focus": """SELECT user_id, app_name, (floor("timestamp" / 600) * 600)::BIGINT AS window_start,
         count(*) AS frames FROM captured GROUP BY ALL""",
-    "stream_sessions": """WITH r AS (SELECT user_id, "timestamp" AS t, "timestamp" - lag("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp") AS d FROM captured),
-        s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > (SELECT max(session_gap_minutes) * 60 FROM config) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM r)
-        SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS frame_count FROM s GROUP BY user_id, n""",
+    "session_window_native": _BY_GAP.replace("{table}", "frames"),
+    "stream_sessions": _BY_GAP.replace("{table}", "captured"),
     "stream_once": "SELECT DISTINCT capture_id, user_id FROM captured",
 }
