@@ -66,7 +66,36 @@ def word_set(text: str) -> set:
 
 def _signatures(batches):
     """(id, text) to (id, h, g, n, signature) for texts of enough distinct words; h, g: 128-bit hash of the set."""
-    cache: dict = {}
+    for keys, sizes, flat, starts in _hashed_sets(batches):
+        with np.errstate(over="ignore"):
+            signature = np.empty((len(keys), SIGNATURE), dtype=np.uint8)
+            for i in range(SIGNATURE):
+                least = np.minimum.reduceat(_mix(flat * _MULTIPLY[i] + _ADD[i]), starts)
+                signature[:, i] = (_mix(least) & np.uint64(0xFF)).astype(np.uint8)
+        h, g = _set_hash(flat, starts)
+        data = pa.Array.from_buffers(
+            pa.binary(SIGNATURE), len(keys), [None, pa.py_buffer(np.ascontiguousarray(signature).tobytes())]
+        ).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, pa.int64()), pa.array(h), pa.array(g), pa.array(sizes, pa.int32()), data],
+            names=["id", "h", "g", "n", "signature"],
+        )
+
+
+_SIGNATURE = "id long, h long, g long, n int, signature binary"
+
+
+def _set_hash(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set of word hashes, whatever the order of its words."""
+    with np.errstate(over="ignore"):
+        h = np.add.reduceat(_mix(hashes), starts).view(np.int64)
+        g = np.bitwise_xor.reduceat(_mix(hashes + np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
+    return h, g
+
+
+def _hashed_sets(batches, cache=None):
+    """(ids, sizes, word hashes of all sets one after another, where each begins) of each batch."""
+    cache = {} if cache is None else cache
     for batch in batches:
         keys, sizes, hashes = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -82,27 +111,15 @@ def _signatures(batches):
                         cache.clear()
                     h = cache[w] = _word_hash(w)
                 hashes.append(h)
-        if not keys:
-            continue
-        flat = np.array(hashes, dtype=np.uint64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        with np.errstate(over="ignore"):
-            signature = np.empty((len(keys), SIGNATURE), dtype=np.uint8)
-            for i in range(SIGNATURE):
-                least = np.minimum.reduceat(_mix(flat * _MULTIPLY[i] + _ADD[i]), starts)
-                signature[:, i] = (_mix(least) & np.uint64(0xFF)).astype(np.uint8)
-            h = np.add.reduceat(_mix(flat), starts).view(np.int64)
-            g = np.bitwise_xor.reduceat(_mix(flat + np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
-        data = pa.Array.from_buffers(
-            pa.binary(SIGNATURE), len(keys), [None, pa.py_buffer(np.ascontiguousarray(signature).tobytes())]
-        ).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int64()), pa.array(h), pa.array(g), pa.array(sizes, pa.int32()), data],
-            names=["id", "h", "g", "n", "signature"],
-        )
+        if keys:
+            yield keys, sizes, np.array(hashes, dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
-_SIGNATURE = "id long, h long, g long, n int, signature binary"
+def _sets(batches):
+    """(id, text) to (id, h, g): which set of words a text has."""
+    for keys, _, flat, starts in _hashed_sets(batches):
+        h, g = _set_hash(flat, starts)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(h), pa.array(g)], names=["id", "h", "g"])
 
 
 def _orders(batches):
@@ -285,10 +302,10 @@ def text_links(texts: DataFrame, key: str = "id", text: str = "text") -> tuple[D
     rows = texts.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & (F.length("text") >= 2 * MIN_WORDS - 1) & ~F.col("text").startswith("ENC:"))
     signed = rows.mapInArrow(_signatures, _SIGNATURE)
-    grouped = signed.groupBy("h", "g").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.collect_set("id").alias("ids")
+    classes = signed.groupBy("h", "g").agg(
+        F.min("id").alias("rep"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("signature").alias("signature")
     )
-    classes = materialize(grouped.select("rep", "n", "signature", "ids"))
+    classes = materialize(classes)
     orders = classes.select(F.col("rep").alias("id"), "n", "signature").mapInArrow(_orders, "key long, id long, sketch long, second long")
     orders = orders.repartition(shuffle_partitions(spark), F.shiftright("key", 32)).sortWithinPartitions("key")
     candidates = materialize(orders.mapInArrow(_text_candidates, _PAIR))
@@ -300,8 +317,10 @@ def text_links(texts: DataFrame, key: str = "id", text: str = "text") -> tuple[D
     pairs = pairs.join(rows.select(F.col("id").alias("a"), F.col("text").alias("s")), "a")
     pairs = pairs.join(rows.select(F.col("id").alias("b"), F.col("text").alias("t")), "b")
     links = materialize(pairs.select("a", "b", "s", "t").mapInArrow(_verify, "a long, b long, similarity double").distinct())
-    members = classes.select(F.explode("ids").alias("id"), "rep")
-    return links, members
+    # Only classes of several ids are joined back to their members, by the hash of the set; no class is one row of ids.
+    copied = classes.where(F.col("last") > F.col("rep")).select("h", "g", "rep")
+    members = rows.mapInArrow(_sets, "id long, h long, g long").distinct().join(copied, ["h", "g"], "left")
+    return links, members.select("id", F.coalesce("rep", "id").alias("rep"))
 
 
 # Perceptual hashes
@@ -396,8 +415,8 @@ def hash_links(captures: DataFrame, key: str = "capture_id", phash: str = "phash
     rows = captures.select(F.col(key).cast("long").alias("id"), F.lower(F.col(phash)).alias("x"))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").rlike("^[0-9a-f]{16}$"))
     high, low = F.conv(F.substring("x", 1, 8), 16, 10).cast("long"), F.conv(F.substring("x", 9, 8), 16, 10).cast("long")
-    rows = rows.select("id", F.shiftleft(high, 32).bitwiseOR(low).alias("hash"))
-    classes = materialize(rows.groupBy("hash").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids")))
+    rows = rows.select("id", F.shiftleft(high, 32).bitwiseOR(low).alias("hash")).distinct()
+    classes = materialize(rows.groupBy("hash").agg(F.min("id").alias("rep")))
     orders = classes.select(F.col("rep").alias("id"), "hash").mapInArrow(_hash_orders, "key long, id long, hash long, tree int")
     orders = orders.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     found = materialize(orders.mapInArrow(_hash_pairs, _PAIR))
@@ -406,7 +425,7 @@ def hash_links(captures: DataFrame, key: str = "capture_id", phash: str = "phash
     if far.limit(1).count():
         pairs = pairs.unionByName(_blockwise(far, "hash"))
     links = materialize(pairs.where(F.col("a") < F.col("b")).distinct())
-    return links, classes.select(F.explode("ids").alias("id"), "rep")
+    return links, rows.join(classes, "hash").select("id", "rep")
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
