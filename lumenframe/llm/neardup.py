@@ -320,7 +320,7 @@ def text_links(texts: DataFrame, key: str = "id", text: str = "text") -> tuple[D
     # Only classes of several ids are joined back to their members, by the hash of the set; no class is one row of ids.
     copied = classes.where(F.col("last") > F.col("rep")).select("h", "g", "rep")
     members = rows.mapInArrow(_sets, "id long, h long, g long").distinct().join(copied, ["h", "g"], "left")
-    return links, members.select("id", F.coalesce("rep", "id").alias("rep"))
+    return links, materialize(members.select("id", F.coalesce("rep", "id").alias("rep")))
 
 
 # Perceptual hashes
@@ -425,7 +425,7 @@ def hash_links(captures: DataFrame, key: str = "capture_id", phash: str = "phash
     if far.limit(1).count():
         pairs = pairs.unionByName(_blockwise(far, "hash"))
     links = materialize(pairs.where(F.col("a") < F.col("b")).distinct())
-    return links, rows.join(classes, "hash").select("id", "rep")
+    return links, materialize(rows.join(classes, "hash").select("id", "rep"))
 
 
 def expand_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
