@@ -8,14 +8,16 @@ Two independent kinds of evidence are combined as log-odds for each text:
   value may have been cut in mid-transfer, with the source's own rate.
 * Ending. Whether the text stops inside a word or a sentence of running text. What is complete without a full stop is
   learned from the corpus: shapes of unpunctuated lines that stand, finished, in front of an empty line (headings and
-  the like), and closing lines that many texts of different lengths share. List entries, code, table rows, links and
-  sign-offs are told by their form.
+  the like), and closing lines that texts of different lengths share and that end texts more often than they begin
+  longer lines: a cut tail is the beginning of other lines, a closing phrase isn't. List entries, code, table rows,
+  links and sign-offs are told by their form.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.runtime import materialize
+from lumenframe.functions.runtime import broadcast_if_small, materialize
 
-#: A closing line is a stock phrase if texts of at least so many different lengths end with it.
-STOCK_LENGTHS = 4
+#: A closing line is looked at as a stock phrase if it's shorter than this and ends texts of so many different lengths.
+STOCK_CHARS, STOCK_LENGTHS = 60, 4
+#: Closing lines up to which the lines of the corpus are compared without a shuffle; the result is the same.
+BROADCAST_LINES = 100_000
 #: Lengths with at least so many texts, and so many times the fit's expectation, are candidate limits.
 LIMIT_COUNT, LIMIT_EXCESS = 5, 4.0
 #: Log-odds of a cut given the ending alone.
@@ -59,8 +63,8 @@ def line_shape(line: str) -> str:
 
 def _features(batches):
     for batch in batches:
-        out: dict = {"d": [], "s": [], "n": [], "last": [], "shape": [], "kind": [], "stock": [], "whole": []}
-        for d, s, text in zip(*(column.to_pylist() for column in batch.columns)):
+        out: dict = {"d": [], "s": [], "n": [], "last": [], "shape": [], "kind": [], "stock": [], "whole": [], "h": [], "bare": []}
+        for d, s, text, h in zip(*(column.to_pylist() for column in batch.columns)):
             core = (text or "").rstrip()
             if not core:
                 continue
@@ -103,6 +107,8 @@ def _features(batches):
             out["kind"].append(kind)
             out["stock"].append(len(stock))
             out["whole"].append(sorted(finished))
+            out["h"].append(h)
+            out["bare"].append(bare.strip()[:200])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(out["d"], pa.int64()),
@@ -113,12 +119,51 @@ def _features(batches):
                 pa.array(out["kind"], pa.string()),
                 pa.array(out["stock"], pa.int32()),
                 pa.array(out["whole"], pa.list_(pa.string())),
+                pa.array(out["h"], pa.int64()),
+                pa.array(out["bare"], pa.string()),
             ],
             names=list(out),
         )
 
 
-_FEATURES = "d long, s string, n long, last string, shape string, kind string, stock int, whole array<string>"
+_FEATURES = "d long, s string, n long, last string, shape string, kind string, stock int, whole array<string>, h long, bare string"
+
+
+def _starts(batches):
+    """(line, c): the first STOCK_CHARS of lines without cut marks, with their counts in the batch."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            for line in text.split("\n"):
+                line = MARKER.sub("", line[: 4 * STOCK_CHARS]).strip()
+                if line:
+                    counts[line[:STOCK_CHARS]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["line", "c"])
+
+
+#: Lines are looked up by their first 1, 2, 4 ... signs, the most that a closing line has.
+_WIDTHS = [1 << k for k in range(STOCK_CHARS.bit_length())]
+
+
+def _keys(column: str):
+    return [F.when(F.length(column) >= w, F.substring(column, 1, w)) for w in _WIDTHS]
+
+
+def stock_lines(features: DataFrame, texts: DataFrame) -> DataFrame:
+    """``last, kind, is_stock`` of the closing lines that are stock phrases, whatever the corpus's size.
+
+    Different texts must end with the line more often than lines of the corpus go on from it.
+    """
+    closing = features.where(F.col("kind").isin("marked", "open", "inside") & (F.length("last") < STOCK_CHARS))
+    closing = closing.groupBy("last", "kind").agg(F.first("bare").alias("bare"), F.countDistinct("n").alias("lengths"), F.countDistinct("h").alias("ends"))
+    closing = materialize(closing.where(F.col("lengths") >= STOCK_LENGTHS))
+    asked = closing.where("bare <> ''").select("bare", F.coalesce(*reversed(_keys("bare"))).alias("key")).distinct()
+    starts = texts.mapInArrow(_starts, "line string, c long").select("line", "c", F.explode(F.array_compact(F.array(*_keys("line")))).alias("key"))
+    met = starts.join(broadcast_if_small(asked, closing.count(), BROADCAST_LINES), "key")
+    met = met.where(F.col("line").startswith(F.col("bare")) & (F.length("line") > F.length("bare")))
+    begins = met.groupBy("bare").agg(F.sum("c").alias("begins"))
+    known = closing.join(begins, "bare", "left").where(F.col("ends") > F.coalesce("begins", F.lit(0)))
+    return known.select("last", "kind", F.lit(True).alias("is_stock"))
 
 
 def _normal_tail(z: np.ndarray) -> np.ndarray:
@@ -170,18 +215,13 @@ def score_truncation(documents: DataFrame) -> DataFrame:
     taken from a column. A null source is a source of its own. Repeated rows come out repeatedly. Extra columns are
     not read. Texts are judged whole.
     """
-    rows = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("source").alias("s"), F.col("text").alias("t"))
-    features = materialize(rows.where(F.col("t").isNotNull()).mapInArrow(_features, _FEATURES))
+    rows = documents.select(F.col("doc_id").cast("long").alias("d"), F.col("source").alias("s"), F.col("text").alias("t"), F.xxhash64("text").alias("h"))
+    rows = rows.where(F.col("t").isNotNull())
+    features = materialize(rows.mapInArrow(_features, _FEATURES))
     source = F.coalesce("s", F.lit("\u0000"))
     histogram = features.groupBy(source.alias("s"), "n").agg(F.count(F.lit(1)).alias("c"))
     limits = histogram.groupBy("s").applyInPandas(censoring, "s string, n long, posterior double")
-    stock = (
-        features.where(F.col("kind").isin("marked", "open", "inside") & (F.length("last") < 60))
-        .groupBy("last", "kind")
-        .agg(F.countDistinct("n").alias("lengths"))
-        .where(F.col("lengths") >= STOCK_LENGTHS)
-        .select("last", "kind", F.lit(True).alias("is_stock"))
-    )
+    stock = stock_lines(features, rows.select("t"))
     finished = features.select(F.explode("whole").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("finished"))
     final = features.where(F.col("kind").isin("open", "link")).groupBy("shape").agg(F.count(F.lit(1)).alias("final"))
     shapes = final.join(finished, "shape").where(F.col("finished") >= F.greatest(F.lit(3), F.col("final"))).select("shape", F.lit(True).alias("is_whole"))
@@ -191,7 +231,8 @@ def score_truncation(documents: DataFrame) -> DataFrame:
         .join(stock, ["last", "kind"], "left")
         .join(shapes, "shape", "left")
     )
-    whole = F.coalesce("is_stock", F.lit(False)) | (F.col("kind").isin("open", "link") & (F.col("shape") != "") & F.coalesce("is_whole", F.lit(False)))
+    at_limit = F.coalesce("posterior", F.lit(0.0)) > 0.5
+    whole = (F.coalesce("is_stock", F.lit(False)) & ~at_limit) | (F.col("kind").isin("open", "link") & (F.col("shape") != "") & F.coalesce("is_whole", F.lit(False)))
     ending = (
         F.when(whole | F.col("kind").isin("closed", "row"), "complete")
         .when(F.col("kind") == "marked", "marker")

@@ -109,3 +109,16 @@ def test_truncation(spark):
     rates = {r.source: r for r in truncation_rates(df).collect()}
     assert rates["limited"].limit_chars in (499, 500) and rates["limited"].rate > 0.8 and rates[None].truncated == 0 and rates["free"].documents == 200 + len(ends)
     assert score_truncation(df.limit(0)).count() == 0 and line_shape("Bo cache 12") == "A a 9"
+
+
+def test_stock_lines_are_relative_to_the_corpus(spark):
+    """A tail cut by chance at several lengths is no closing phrase; one that no line goes on from is."""
+    rows = []
+    for i in range(60):
+        rows.append((i, f"Note {i} of the desk is here.\n" + "The desk has it.\n" * (i % 9) + "While waiting for the tram the desk wrote it down.\nAll is well.", "free"))
+    for i in range(6):
+        rows.append((100 + i, "The desk has it.\n" * (i + 1) + "\nWhile waiting for th", "free"))
+        rows.append((200 + i, "The desk has it.\n" * (i + 1) + "It was late.\nSeen by the desk", "free"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id for r in score_truncation(df).where("truncated").collect()}
+    assert got == set(range(100, 106))
