@@ -1,11 +1,11 @@
 """Near-duplicates by LSH forests: several sorted orders of signatures, neighbours with a long common prefix.
 
 Texts. A text's set of distinct words gives 64 MinHash bytes. Equal sets are one representative, whatever their number,
-so copies never meet each other in a bucket. Each tree is a sorted order of the representatives by its own selection
-of signature bytes. Regions of representatives that share a prefix are opened at the shallowest depth at which they
-are small enough, so depth grows where the data are dense. Neighbours within a region whose sketches agree become
-candidates, and every candidate is verified on the words themselves. A region that is still large at full depth isn't
-cut off: its representatives are spread over blocks and compared block by block.
+so copies never meet each other in a bucket. Each tree is a sorted order of the representatives by its own signature
+bytes; no byte is in two trees, so the trees miss a pair independently. All representatives of a region, those that
+share a prefix, meet each other, and those whose sketches agree become candidates; every candidate is verified on the
+words themselves. The prefix has one depth, set by the rate of pairs missed at the threshold: a deeper one would miss
+more pairs where the data are dense. A region too large for one task is spread over blocks and compared block by block.
 
 Hashes (perceptual). Two 64-bit hashes that differ in fewer than 6 bits agree on at least two of seven blocks of bits,
 so the 21 orders that begin with two of the blocks find every such pair: no link is lost. Regions that share two
@@ -30,11 +30,10 @@ THRESHOLD = 0.8
 MIN_WORDS = 20
 SIGNATURE = 64
 TREES = 16
-#: Prefix bytes at which a tree's regions are first formed, and at most.
-FIRST_DEPTH, FULL_DEPTH = 4, 8
-#: Representatives in a region beyond which it is opened deeper.
-REGION = 24
-#: Representatives in a full-depth region beyond which it is compared in blocks by many tasks.
+#: Prefix bytes of a tree's regions. A pair of similarity s is missed by all trees with (1 - s ** DEPTH) ** TREES: 0.02 %
+#: at the threshold. The rate doesn't depend on the data.
+DEPTH = SIGNATURE // TREES
+#: Representatives in a region beyond which it is compared in blocks by many tasks.
 SPREAD = 20_000
 #: Two bits of 56 signature bytes and one of 8 are compared: at similarity 0.8 12 of the 120 bits differ on average,
 #: with a deviation of 3.9, so one true pair in some ten thousand at the very threshold differs in more than this.
@@ -44,7 +43,7 @@ WORD = re.compile(r"[^\W_]+")
 _random = np.random.default_rng(7919)
 _MULTIPLY = _random.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 _ADD = _random.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
-_ORDERS = np.stack([_random.permutation(SIGNATURE)[:FULL_DEPTH] for _ in range(TREES)])
+_ORDERS = _random.permutation(SIGNATURE).reshape(TREES, DEPTH)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,12 +141,8 @@ def _orders(batches):
             keys = []
             with np.errstate(over="ignore"):
                 for tree, order in enumerate(_ORDERS):
-                    prefix = signature[part, order[:FIRST_DEPTH]].astype(np.uint64)
-                    head = prefix @ (np.uint64(256) ** np.arange(FIRST_DEPTH, dtype=np.uint64)) + np.uint64(tree << 40)
-                    key = (_mix(head) >> np.uint64(32)) << np.uint64(32)
-                    for level, at in enumerate(order[FIRST_DEPTH:]):
-                        key |= signature[part, at].astype(np.uint64) << np.uint64(24 - 8 * level)
-                    keys.append(key)
+                    prefix = signature[part, order].astype(np.uint64)
+                    keys.append(_mix(prefix @ (np.uint64(256) ** np.arange(DEPTH, dtype=np.uint64)) + np.uint64(tree << 40)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(keys).view(np.int64)),
@@ -168,32 +163,17 @@ def _agree(x, y, x2, y2):
 
 def _neighbours(region: np.ndarray, check, longest: int):
     """Pairs of positions (i, j) in the same region (equal, sorted labels) for which ``check(i, j)`` holds."""
+    left = np.arange(len(region))
     for step in range(1, longest):
-        i = np.flatnonzero(region[:-step] == region[step:])
-        if not len(i):
+        left = left[: np.searchsorted(left, len(region) - step)]
+        left = left[region[left] == region[left + step]]  # who has no partner so far on has none further on
+        if not len(left):
             break
-        i = i[check(i, i + step)]
+        i = left[check(left, left + step)]
         if len(i):
             yield i, i + step
 
 
-def _depths(key: np.ndarray, levels, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, size) of each row's region: the shallowest prefix whose region has at most ``limit`` rows, else the deepest."""
-    label = np.zeros(len(key), dtype=np.int64)
-    size = np.zeros(len(key), dtype=np.int64)
-    open_ = np.ones(len(key), dtype=bool)
-    for level, shift in enumerate(levels):
-        prefix = key >> np.uint64(shift)
-        new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
-        number = np.cumsum(new)
-        count = np.bincount(number)[number]
-        settle = open_ & ((count <= limit) | (level == len(levels) - 1))
-        label[settle] = number[settle] * len(levels) + level
-        size[settle] = count[settle]
-        open_ &= ~settle
-    return label, size
-
-
 def _emit(*columns):
     """a, b of a pair, or a, null, key, sketch, second of a row of a region too large for one task."""
     empty = pa.nulls(len(columns[0]), pa.int64())
@@ -202,7 +182,7 @@ def _emit(*columns):
 
 
 def _grouped(batches, shift: int):
-    """Columns of whole first-depth regions: rows are carried over until the region they belong to is complete."""
+    """Columns of whole regions: rows are carried over until the region they belong to is complete."""
     kept: list = []
     for batch in batches:
         if not batch.num_rows:
@@ -222,11 +202,11 @@ def _grouped(batches, shift: int):
 
 
 def _text_candidates(batches):
-    """Candidate pairs of each tree; rows of a full-depth region too large for one task come out as they are."""
-    levels = [32 - 8 * d for d in range(FULL_DEPTH - FIRST_DEPTH + 1)]
-    for signed, ids, sketches, seconds in _grouped(batches, 32):
-        key, sketch, second = signed.view(np.uint64), sketches.view(np.uint64), seconds.view(np.uint64)
-        label, size = _depths(key, levels, REGION)
+    """Candidate pairs of each tree; rows of a region too large for one task come out as they are."""
+    for signed, ids, sketches, seconds in _grouped(batches, 0):
+        sketch, second = sketches.view(np.uint64), seconds.view(np.uint64)
+        label = np.cumsum(np.concatenate([[True], signed[1:] != signed[:-1]]))
+        size = np.bincount(label)[label]
         far = size > SPREAD
         if far.any():
             yield _emit(ids[far], None, signed[far], sketches[far], seconds[far])
@@ -307,7 +287,7 @@ def text_links(texts: DataFrame, key: str = "id", text: str = "text") -> tuple[D
     )
     classes = materialize(classes)
     orders = classes.select(F.col("rep").alias("id"), "n", "signature").mapInArrow(_orders, "key long, id long, sketch long, second long")
-    orders = orders.repartition(shuffle_partitions(spark), F.shiftright("key", 32)).sortWithinPartitions("key")
+    orders = orders.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     candidates = materialize(orders.mapInArrow(_text_candidates, _PAIR))
     pairs = candidates.where(F.col("b").isNotNull()).select("a", "b")
     far = candidates.where(F.col("b").isNull()).select("a", "key", "sketch", "second")
