@@ -122,3 +122,19 @@ def test_stock_lines_are_relative_to_the_corpus(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id for r in score_truncation(df).where("truncated").collect()}
     assert got == set(range(100, 106))
+
+
+def test_a_sure_limit_outweighs_the_form_of_the_ending(spark):
+    """List entries, code, rows and heading shapes cut at a fixed limit are found; copies and chance lengths are no limit."""
+    ends = ["- amber cache for the des", "    return ledger_of_the", "x | the ledger of the", "Amber Cache"]
+    rows = [(i, "The desk has it. " * (3 + i % 50) + "\n\nAmber Desk\n\n" + "It is late.", "list") for i in range(300)]
+    for i in range(80):
+        end = "\n\n" + ends[i % 4]
+        rows.append((1000 + i, f"Note {i:03d} " + "of the desk has it. " * 60 + end, "list"))
+    size = min(len(t) for _, t, _ in rows[300:])
+    rows = rows[:300] + [(i, t[: size - len(t.split("\n\n")[1]) - 3] + ".\n\n" + t.split("\n\n")[1], s) for i, t, s in rows[300:]]
+    rows += [(2000 + i, "The desk has it.\n\n- amber cache for Bo", "list") for i in range(40)]
+    rows += [(3000 + i, "The desk has it. " * (i + 3) + "\n\n" + ends[i % 4], "list") for i in range(40)]
+    assert len({len(t) for i, t, _ in rows if 1000 <= i < 2000}) == 1
+    got = {r.doc_id for r in score_truncation(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
+    assert got == set(range(1000, 1080))
