@@ -417,31 +417,81 @@ def _repaired(value, known: dict, divisions_ok: set):
     return TOKEN.sub(true, text)
 
 
+def _value_divisions(batches):
+    """(h, value) to (h, a, b) of each place where a word may be divided."""
+    for batch in batches:
+        rows = [
+            (h, left, right)
+            for h, value in zip(*(c.to_pylist() for c in batch.columns))
+            if not value.startswith("ENC:")
+            for _, _, left, right in _layout(value)[1]
+        ]
+        arrays = list(zip(*rows)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in arrays], names=["h", "a", "b"])
+
+
+def _joined_words(batches):
+    """(h, value, joins) to (h, word) of each word of the value after its divided words are joined."""
+    for batch in batches:
+        rows = [
+            (h, word)
+            for h, value, joins in zip(*(c.to_pylist() for c in batch.columns))
+            if not value.startswith("ENC:")
+            for word in set(TOKEN.findall(_repaired(value, {}, _pairs(joins))))
+        ]
+        arrays = list(zip(*rows)) or [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in arrays], names=["h", "word"])
+
+
+def _pairs(joins) -> set:
+    return {(j["a"], j["b"]) for j in joins or ()}
+
+
+def _repaired_alone(batches):
+    """(id, and value, joins, fixes of each field) to the repaired fields."""
+    for batch in batches:
+        keys, *columns = (c.to_pylist() for c in batch.columns)
+        fields = []
+        for k in range(0, len(columns), 3):
+            fields.append(pa.array([_repaired(v, {f["word"]: f["true_word"] for f in x or ()}, _pairs(j)) for v, j, x in zip(*columns[k : k + 3])], pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *fields], names=["id", *FIELDS])
+
+
+def _repaired_by_shuffle(values: DataFrame, wrong: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What :func:`repair_scans` gives, where the tables are too large to send out: words are looked up by distinct value."""
+    every = values.select(F.explode(F.array(*FIELDS)).alias("value")).where("value <> ''").distinct().select(F.sha2("value", 256).alias("h"), "value")
+    divided = every.mapInArrow(_value_divisions, "h string, a string, b string").distinct()
+    joins = materialize(divided.join(pairs, ["a", "b"]).groupBy("h").agg(F.collect_list(F.struct("a", "b")).alias("joins")))
+    words = every.join(joins, "h", "left").mapInArrow(_joined_words, "h string, word string")
+    fixes = materialize(words.join(wrong, "word").groupBy("h").agg(F.collect_list(F.struct("word", "true_word")).alias("fixes")))
+    for field in FIELDS:
+        values = values.withColumn("h", F.sha2(field, 256)).join(joins.withColumnRenamed("joins", f"joins_{field}"), "h", "left")
+        values = values.join(fixes.withColumnRenamed("fixes", f"fixes_{field}"), "h", "left").drop("h")
+    columns = [c for field in FIELDS for c in (field, f"joins_{field}", f"fixes_{field}")]
+    return values.select("id", *columns).mapInArrow(_repaired_alone, "id long, text string, window_title string")
+
+
 def repair_scans(frames: DataFrame) -> DataFrame:
     """``id, text, window_title`` as continuous readable paragraphs and titles; every row comes out.
 
     Page headers and numbers go, divided words are joined, lines of scanned pages run on within a paragraph, misread
     words are written as the corpus writes them. Values without noise stay as they are, nulls stay null.
-    The tables of misreadings and divisions hold distinct words; beyond BROADCAST_WORDS of them the work is split
-    into ranges of the table, one pass each, instead of sending more to a worker at once.
+    The tables of misreadings and divisions hold distinct words; beyond BROADCAST_WORDS of them each value gets its
+    own entries by shuffle. Either way a value is repaired once, with all entries that concern it.
     """
     spark = frames.sparkSession
     _, words, divided = survey(frames)
     wrong = materialize(misreadings(words, divided))
     pairs = materialize(divided_words(words, divided, wrong))
-    size = max(wrong.count(), pairs.count())
-    parts = -(-size // BROADCAST_WORDS) or 1
     values = frames.select(F.col("id").cast("long").alias("id"), *FIELDS)
-    for part in range(parts):
-        mine = dict(wrong.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == part).collect())
-        mine_pairs = {tuple(r) for r in pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part).collect()}
-        table = spark.sparkContext.broadcast((mine, mine_pairs))
-
-        def run(batches, table=table):
-            known, ok = table.value
-            for batch in batches:
-                fields = [pa.array([_repaired(v, known, ok) for v in c.to_pylist()], pa.string()) for c in batch.columns[1:]]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *fields], names=["id", *FIELDS])
-
-        values = values.mapInArrow(run, "id long, text string, window_title string")
-    return values
+    if max(wrong.count(), pairs.count()) > BROADCAST_WORDS:
+        return _repaired_by_shuffle(values, wrong, pairs)
+    table = spark.sparkContext.broadcast((dict(wrong.collect()), {tuple(r) for r in pairs.collect()}))
+
+    def run(batches):
+        known, ok = table.value
+        for batch in batches:
+            fields = [pa.array([_repaired(v, known, ok) for v in c.to_pylist()], pa.string()) for c in batch.columns[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fields], names=["id", *FIELDS])
+
+    return values.mapInArrow(run, "id long, text string, window_title string")

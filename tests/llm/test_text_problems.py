@@ -1,5 +1,6 @@
 """Problems 2, 6 and 9 on small fixtures with known cases."""
 
+from lumenframe.llm import scans
 from lumenframe.llm.personal import personal_fields, redact_personal
 from lumenframe.llm.scans import page_furniture, readings, repair_scans, scan_noise
 from lumenframe.llm.truncation import line_shape, score_truncation, truncation_rates
@@ -138,3 +139,14 @@ def test_a_sure_limit_outweighs_the_form_of_the_ending(spark):
     assert len({len(t) for i, t, _ in rows if 1000 <= i < 2000}) == 1
     got = {r.doc_id for r in score_truncation(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("truncated").collect()}
     assert got == set(range(1000, 1080))
+
+
+def test_repair_is_the_same_for_tables_of_any_size(make_frames, monkeypatch):
+    """Tables too large to send out give the same texts: a value is repaired once, with all its words."""
+    page = "Record of the Brittle Margin\n[{}]\nThe mod-\nern am-\nber certi-\nficate retur-\nned to the tram-\nway be-\nfore the fore-\ncast of the peo-\nple.\n"
+    rows = scan_rows() + [{"id": 200, "text": page.format(4) + page.format(5), "window_title": "arnber f0recast"}]
+    frames = make_frames(rows, "k string, kind string, a string, n long")
+    key = lambda r: (r.id or -1, r.text or "", r.window_title or "")
+    want = sorted(map(key, repair_scans(frames).collect()))
+    monkeypatch.setattr(scans, "BROADCAST_WORDS", 1)
+    assert sorted(map(key, repair_scans(frames).collect())) == want
