@@ -80,7 +80,7 @@ def mix_to_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vo
     )
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").join(wanted.select("source"), "source", "left_semi")
     # doc_id and source travel together through the tokenizer: the source is joined back on the unique pair.
-    sizes = token_counts(chosen, "doc_id", "text", vocabulary)
+    sizes = token_counts(chosen, ["doc_id"], "text", vocabulary)
     sources = chosen.select("doc_id", "source").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("rows"))
     sizes = sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")).join(sources, "doc_id")
     sizes = materialize(sizes.select("doc_id", "source", F.col("n_tokens").alias("n"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")))

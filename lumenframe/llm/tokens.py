@@ -1,28 +1,43 @@
 """Encoding of a corpus with a public tokenizer through a table of distinct words.
 
-Splitting a text into the tokenizer's words is local; the merges of byte-pair encoding work within a word. So the
-corpus is split once, each distinct word is encoded once, and the ids are joined back by position. Occurrences are
-combined to (document, word) with an array of positions before anything is shuffled. Words that make up more than a
-1/HOT_WORDS of all (document, word) rows are at most HOT_WORDS many whatever the corpus, so those are broadcast; all
-others are joined by shuffle, where none of them can be a hot key.
+A word here is a run of signs with the blanks in front of it. The tokenizer never joins what stands on both sides of
+such a place, so the ids of a text are the ids of its words one after another, and byte-pair merges work within a word.
+The corpus is split and counted once (combined per task before the shuffle), each distinct word is encoded once, and the
+ids are joined back by position: the texts are split again where they are read and each word is looked up. The most
+frequent words, a bounded number of bounded length, are looked up in the workers, which leaves only what is rare to a
+shuffle; a text's rare words are joined by word and put back at their positions. No list of positions is ever shuffled.
 """
 
 from __future__ import annotations
 
 import importlib.util
 import os
+import re
+from array import array
+from collections import Counter
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.runtime import materialize
+from lumenframe.functions.runtime import materialize, stored
 
 VOCABULARY = "byte_bpe_50k.json"
-HOT_WORDS = 2000
-#: A word longer than this is never broadcast, so the hot words' size is bounded too.
-HOT_WORD_BYTES = 256
+#: Words that are sent to the workers: so many of the most frequent, none longer than this.
+HOT_WORDS, HOT_WORD_BYTES = 50_000, 256
+#: A rare word is one key of a join; one with more than this share of all occurrences is spread over several.
+HEAVY_SHARE, HEAVY_COPIES = 1 / 2000, 32
+#: Words counted in a task before they are handed on, and token ids in a batch of results.
+COUNTED, BATCH_IDS = 200_000, 1_000_000
+#: Signs of a word beyond which it is divided as the tokenizer divides it.
+LONG_WORD = 64
+
+# The blanks of the tokenizer's splitting rule.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WORD = re.compile(f"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 
 
 def vocabulary_path(name: str = VOCABULARY, folder: str | None = None) -> str:
@@ -43,65 +58,163 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-_WORDS = "r long, k long, word string, places array<int>"
+def words_of(text: str, tokenizer):
+    """Lists of the words of a text, which are the text again when joined; a long text gives several lists."""
+    if len(text) < 1_000_000:
+        lists = [_WORD.findall(text)]
+    else:
+        found = (m.group() for m in _WORD.finditer(text))
+        lists = iter(lambda: list(islice(found, 100_000)), [])
+    for words in lists:
+        if max(map(len, words), default=0) > LONG_WORD:
+            words = [x for w in words for x in (_divided(w, tokenizer) if len(w) > LONG_WORD else (w,))]
+        yield words
 
 
-def _split(path: str):
-    """(r, k, text) to (r, k, word, positions); words are in the tokenizer's byte alphabet, exactly as it splits them.
+def _divided(word: str, tokenizer) -> list:
+    return [word[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(word)]
 
-    A row without words gives one row with a null word, so that no input row is lost.
-    """
+
+def _counted(path: str):
+    """(text) to (word, n): words counted in the task."""
 
     def run(batches):
-        split = _tokenizer(path).pre_tokenizer.pre_tokenize_str
+        tokenizer, counts = _tokenizer(path), Counter()
         for batch in batches:
-            rows, keys, words, places = [], [], [], []
-            for row, key, text in zip(*(column.to_pylist() for column in batch.columns)):
-                seen: dict = {}
-                for position, (word, _) in enumerate(split(text) if text else ()):
-                    seen.setdefault(word, []).append(position)
-                rows += [row] * max(1, len(seen))
-                keys += [key] * max(1, len(seen))
-                words += seen.keys() or [None]
-                places += seen.values() or [None]
-                if len(rows) > 50_000:
-                    yield _rows(rows, keys, words, places)
-                    rows, keys, words, places = [], [], [], []
-            yield _rows(rows, keys, words, places)
+            for text in batch.column(0).to_pylist():
+                for words in words_of(text, tokenizer) if text else ():
+                    counts.update(words)
+                    if len(counts) > COUNTED:
+                        yield _count_rows(counts)
+                        counts = Counter()
+        yield _count_rows(counts)
 
     return run
 
 
-def _rows(rows, keys, words, places):
-    arrays = [pa.array(rows, pa.int64()), pa.array(keys, pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.list_(pa.int32()))]
-    return pa.RecordBatch.from_arrays(arrays, names=["r", "k", "word", "places"])
+def _count_rows(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
-def _encode(path: str):
-    """Adds the ids of each word. A word is looked up in the vocabulary or merged; it is never split again."""
+def _encoded(path: str):
+    """Adds the ids of each word."""
 
     def run(batches):
-        model = _tokenizer(path).model
+        encode = _tokenizer(path).encode
         for batch in batches:
-            ids = [[t.id for t in model.tokenize(word)] for word in batch.column(0).to_pylist()]
+            ids = [encode(word, add_special_tokens=False).ids for word in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return run
 
 
-def _joined(documents: DataFrame, key: str, text: str, path: str, place, value) -> DataFrame:
-    """``r, k, place, value`` of each (row, distinct word); ``r`` numbers the rows, so keys needn't be unique."""
-    rows = documents.select(F.monotonically_increasing_id().alias("r"), F.col(key).cast("long").alias("k"), F.col(text).alias("text"))
-    words = materialize(rows.mapInArrow(_split(path), _WORDS).select("r", "k", "word", place.alias("place")))
-    counted = words.where(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    distinct = counted.mapInArrow(_encode(path), "word string, n long, ids array<int>")
-    distinct = materialize(distinct.select("word", "n", value.alias("value")))
-    total = words.count()
-    hot = (F.col("n") * F.lit(HOT_WORDS) > F.lit(total)) & (F.octet_length("word") <= HOT_WORD_BYTES)
-    first = words.join(F.broadcast(distinct.where(hot).select("word", "value")), "word", "left")
-    done = F.col("value").isNotNull() | F.col("word").isNull()
-    rest = first.where(~done).drop("value").join(distinct.where(~hot).select("word", "value"), "word")
-    return first.where(done).select("r", "k", "place", "value").unionByName(rest.select("r", "k", "place", "value"))
+class _Table(dict):
+    """Words to ids; an unknown word stands as the negative number, from -1 down, of its place among the text's unknown words."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.unknown: dict = {}
+
+    def __missing__(self, word):
+        return (-1 - self.unknown.setdefault(word, len(self.unknown)),)
+
+
+_RARE = "array<struct<word:string,times:int>>"
+
+
+def _looked_up(path: str, known):
+    """(kept columns, text) to the kept columns, the text's ids and its words that aren't known."""
+
+    def run(batches):
+        tokenizer, table = _tokenizer(path), _Table(known.value)
+        for batch in batches:
+            *kept, texts = batch.columns
+            start, ids, ends, rare = 0, array("i"), [], []
+            for at, text in enumerate(texts.to_pylist()):
+                for words in words_of(text, tokenizer) if text else ():
+                    ids.extend(chain.from_iterable(map(table.__getitem__, words)))
+                rare.append([(w, 1) for w in table.unknown])
+                table.unknown = {}
+                ends.append(len(ids))
+                if len(ids) > BATCH_IDS or at + 1 == len(texts):
+                    flat = pa.array(np.frombuffer(ids, dtype=np.int32) if ids else [], pa.int32())
+                    lists = pa.ListArray.from_arrays(pa.array(np.array([0, *ends], dtype=np.int32)), flat)
+                    yield _found_rows(kept, start, at + 1, lists, rare)
+                    start, ids, ends, rare = at + 1, array("i"), [], []
+
+    return run
+
+
+def _measured(path: str, known):
+    """(kept columns, text) to the kept columns, the number of ids of the text's known words and its words that aren't known."""
+
+    def run(batches):
+        tokenizer, sizes_of = _tokenizer(path), {w: len(ids) for w, ids in known.value.items()}
+        for batch in batches:
+            *kept, texts = batch.columns
+            sizes, rare = [], []
+            for text in texts.to_pylist():
+                counts: Counter = Counter()
+                for words in words_of(text, tokenizer) if text else ():
+                    counts.update(words)
+                unknown = counts.keys() - sizes_of.keys()
+                sizes.append(sum(sizes_of[w] * n for w, n in counts.items() if w in sizes_of))
+                rare.append([(w, counts[w]) for w in unknown])
+            if sizes:
+                yield _found_rows(kept, 0, len(sizes), pa.array(sizes, pa.int64()), rare)
+
+    return run
+
+
+def _found_rows(kept, start: int, stop: int, values, rare) -> pa.RecordBatch:
+    words = pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("times", pa.int32())])))
+    names = [f"k{i}" for i in range(len(kept))] + ["value", "rare"]
+    return pa.RecordBatch.from_arrays([*(k.slice(start, stop - start) for k in kept), values, words], names=names)
+
+
+def word_table(texts: DataFrame, path: str) -> DataFrame:
+    """``word, n, ids``: each distinct word of column ``text`` with its occurrences and its ids, encoded once."""
+    counts = texts.select("text").mapInArrow(_counted(path), "word string, n long")
+    counts = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counts.mapInArrow(_encoded(path), "word string, n long, ids array<int>"))
+
+
+def _joined(documents: DataFrame, kept: list, text: str, path: str, sizes_only: bool) -> DataFrame:
+    """``k0 .. , value``: the kept columns of each row with its ids, or their number."""
+    spark = documents.sparkSession
+    names = [f"k{i}" for i in range(len(kept))]
+    rows = documents.select(*[F.col(c).alias(n) for n, c in zip(names, kept)], F.col(text).alias("text"))
+    table = word_table(rows, path)
+    hot = table.where(F.octet_length("word") <= HOT_WORD_BYTES).orderBy(F.desc("n"), "word").limit(HOT_WORDS).collect()
+    known = spark.sparkContext.broadcast({r.word: tuple(r.ids) for r in hot})
+    types = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    if sizes_only:
+        found = rows.mapInArrow(_measured(path, known), f"{types}, value long, rare {_RARE}")
+    else:
+        found = rows.mapInArrow(_looked_up(path, known), f"{types}, value array<int>, rare {_RARE}")
+    if table.count() == len(hot):
+        return found.select(*names, "value")
+    found = stored(found.withColumn("r", F.monotonically_increasing_id()))
+    done = found.where(F.size("rare") == 0).select(*names, "value")
+    # Rare words by shuffle. Heavy ones among them are at most 1 / HEAVY_SHARE many and go over several keys.
+    hot_words = F.broadcast(spark.createDataFrame([(r.word,) for r in hot], "word string"))
+    left = table.join(hot_words, "word", "left_anti").withColumn("h", F.xxhash64("word"))
+    total = table.agg(F.sum("n")).head()[0]
+    heavy = F.broadcast(left.where(F.col("n") > F.lit(total * HEAVY_SHARE)).select("h", F.lit(HEAVY_COPIES).alias("copies")).distinct())
+    copies = F.coalesce("copies", F.lit(1))
+    spread = left.join(heavy, "h", "left").select("word", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"), "ids")
+    asked = found.select("r", F.posexplode("rare").alias("at", "x")).select("r", "at", "x.word", "x.times", F.xxhash64("x.word").alias("h"))
+    asked = asked.join(heavy, "h", "left").withColumn("salt", F.pmod(F.xxhash64("r", "at"), copies).cast("int"))
+    met = asked.join(spread, ["word", "salt"])
+    rest = found.where(F.size("rare") > 0)
+    if sizes_only:
+        more = met.groupBy("r").agg(F.sum(F.size("ids") * F.col("times").cast("long")).alias("more"))
+        rest = rest.join(more, "r").withColumn("value", F.col("value") + F.col("more"))
+    else:
+        parts = met.groupBy("r").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+        each = F.transform("value", lambda x: F.when(x < 0, F.element_at("parts", -x)["ids"]).otherwise(F.array(x)))
+        rest = rest.join(parts, "r").withColumn("value", F.flatten(each))
+    return done.unionByName(rest.select(*names, "value"))
 
 
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -109,23 +222,20 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     Null and empty texts both give an empty list. Every row comes out, also where keys repeat or are null. Extra
     columns are not read. Very long texts are encoded whole. An empty table gives no rows. The vocabulary's file is a
-    parameter and must be readable on every executor.
+    parameter and must be readable on every executor. The splitting rule is that of byte-level vocabularies.
     """
-    joined = _joined(documents, key, text, vocabulary or vocabulary_path(), F.col("places"), F.col("ids"))
-    parts = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("place", "value")))
-    encoded = joined.groupBy("r", "k").agg(parts.alias("parts"))
-    spread = F.flatten(F.transform("parts", lambda p: F.transform(p["place"], lambda at: F.struct(at.alias("at"), p["value"].alias("ids")))))
-    return encoded.select(F.col("k").alias(key), F.flatten(F.transform(F.array_sort(spread), lambda x: x["ids"])).alias("ids"))
+    joined = _joined(documents, [key], text, vocabulary or vocabulary_path(), False)
+    return joined.select(F.col("k0").alias(key), F.col("value").alias("ids"))
 
 
-def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``key, n_tokens`` of every row of ``documents``; null and empty texts have 0 tokens.
+def token_counts(documents: DataFrame, kept: list | None = None, text: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """The ``kept`` columns (doc_id) and ``n_tokens`` of every row of ``documents``; null and empty texts have 0 tokens.
 
-    By the same table of distinct words, of which only the number of ids is joined back.
+    By the same table of distinct words, of which only the number of ids is looked up.
     """
-    joined = _joined(documents, key, text, vocabulary or vocabulary_path(), F.size("places"), F.size("ids"))
-    sizes = joined.groupBy("r", "k").agg(F.sum(F.col("place").cast("long") * F.col("value")).alias("n"))
-    return sizes.select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"))
+    kept = kept or ["doc_id"]
+    joined = _joined(documents, kept, text, vocabulary or vocabulary_path(), True)
+    return joined.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("value").alias("n_tokens"))
 
 
 def pieces(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:

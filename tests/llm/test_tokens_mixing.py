@@ -4,7 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from lumenframe.llm import tokens
 from lumenframe.llm.mixing import fit_lengths, mix_to_shares
 from lumenframe.llm.tokens import _tokenizer, decode_corpus, encode_corpus, token_counts, vocabulary_path
 
@@ -28,6 +31,36 @@ def test_ids_equal_the_tokenizer(spark):
     assert {r.doc_id: r.text for r in decode_corpus(encode_corpus(df)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+@pytest.mark.parametrize(("hot", "long"), [(2, 256), (50_000, 3), (0, 256)])
+def test_rare_words_by_shuffle(spark, monkeypatch, hot, long):
+    """Words beyond the table that is sent out are joined by shuffle, heavy ones over several keys, with the same ids."""
+    want = {r.doc_id: r.ids for r in encode_corpus(documents(spark, TEXTS)).collect()}
+    monkeypatch.setattr(tokens, "HOT_WORDS", hot)
+    monkeypatch.setattr(tokens, "HOT_WORD_BYTES", long)
+    monkeypatch.setattr(tokens, "BATCH_IDS", 10)
+    monkeypatch.setattr(tokens, "COUNTED", 3)
+    df = documents(spark, TEXTS)
+    got = encode_corpus(df.unionByName(df)).collect()
+    assert len(got) == 2 * len(TEXTS) and all(r.ids == want[r.doc_id] for r in got)
+    assert {r.doc_id: r.n_tokens for r in token_counts(df).collect()} == {i: len(ids) for i, ids in want.items()}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("a'sZ é\u0301\n\r\t\x0b\x1c\x85\xa0\u1680\u180e\u2003\u200b\u2028\u202f\u3000١9²!.<|>_한🙂\u200d\ue000\U0001fae9")))
+def test_words_are_encoded_alone_as_in_the_text(text):
+    tokenizer = _tokenizer(vocabulary_path())
+    words = [w for part in tokens.words_of(text, tokenizer) for w in part]
+    encode = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    assert "".join(words) == text and [i for w in words for i in encode(w)] == encode(text)
+
+
+def test_long_texts_are_split_in_parts():
+    tokenizer = _tokenizer(vocabulary_path())
+    text = ("some words 12\n\n  more " + "y" * 300 + "! ") * 4000
+    words = [w for part in tokens.words_of(text, tokenizer) for w in part]
+    assert "".join(words) == text and [i for w in words for i in tokenizer.encode(w, add_special_tokens=False).ids] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_and_null_keys(spark):
     assert encode_corpus(documents(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b"), (None, "c")], "doc_id long, text string")
