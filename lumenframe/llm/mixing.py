@@ -3,8 +3,9 @@
 The largest total that all sources can serve within their caps fixes each source's budget. Whole rounds of a source
 (every document once more) fill most of it; what remains is a subset sum over documents of known length. Only the
 number of documents of each length matters for it, so the fit works on a histogram: a proportional share of each
-length first, then bounded-knapsack dynamic programming for the exact rest. Documents of a length are then taken in
-the order of a seeded hash. The histogram has at most sqrt(2 * tokens of a source) rows, as lengths differ.
+length first, then bounded-knapsack dynamic programming over what to add to it and what to give back, which is exact.
+Documents of a length are then taken in the order of a seeded hash. The histogram has at most
+sqrt(2 * tokens of a source) rows, as lengths differ.
 """
 
 from __future__ import annotations
@@ -18,49 +19,90 @@ from lumenframe.functions.runtime import materialize
 from lumenframe.llm.tokens import token_counts
 
 SEED = 20240
-#: Budget left to the exact fit, in multiples of the source's longest document.
+#: First range of the exact fit, in multiples of the source's longest document; it grows until the fit is settled.
 EXACT_SPAN = 4
 
 
+def _reachable(lengths: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarray, list]:
+    """(first, steps): sums up to ``span`` of at most ``counts`` documents of each length.
+
+    ``first[s]`` is the step (length, documents) by which the sum s was first reached, -1 where it isn't; what is left
+    of s without that step was reached by an earlier one, so one number a sum gives back its documents.
+    """
+    reach = np.zeros(span + 1, dtype=bool)
+    first = np.full(span + 1, -1, dtype=np.int32)
+    reach[0], reached, steps = True, 1, []
+    for i, size in enumerate(lengths.tolist()):
+        left, part = int(counts[i]), 1
+        while left > 0 and min(part, left) * size <= span and reached <= span:
+            use = min(part, left)
+            new = np.flatnonzero(reach[: span + 1 - use * size] & ~reach[use * size :]) + use * size
+            first[new] = len(steps)
+            reach[new] = True
+            steps.append((i, use))
+            reached += len(new)
+            left, part = left - use, part * 2
+    return first, steps
+
+
+def _documents(first: np.ndarray, steps: list, lengths: np.ndarray, total: int) -> np.ndarray:
+    used = np.zeros(len(lengths), dtype=np.int64)
+    while total:
+        i, use = steps[first[total]]
+        used[i] += use
+        total -= use * int(lengths[i])
+    return used
+
+
+def _bits(first: np.ndarray) -> int:
+    reach = first >= 0
+    reach[0] = True
+    return int.from_bytes(np.packbits(reach, bitorder="little").tobytes(), "little")
+
+
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their sizes sum to ``budget`` or as near below as possible.
+    """How many documents of each length to take, so that their sizes sum to the largest possible total up to ``budget``.
 
-    A proportional part keeps the source's own distribution of lengths; dynamic programming over reachable sums (one
-    bit a sum, counts split into powers of two) settles the rest exactly.
+    A proportional part keeps the source's own distribution of lengths and leaves less than the longest document, W.
+    Dynamic programming then looks for documents to add and to give back. A total that can be reached at all is reached
+    from there by at most 2 W changes: in an order in which the sums stay between -W and W, more changes would meet a sum
+    twice, and those between could be left out. So a range of sums of 2 W * W settles the fit, whatever the source's
+    size; mostly the first range, EXACT_SPAN * W, does.
     """
     taken = np.zeros(len(lengths), dtype=np.int64)
-    usable = lengths > 0
-    available = int((lengths[usable] * counts[usable]).sum())
-    if budget <= 0 or available == 0:
+    usable = np.flatnonzero((lengths > 0) & (counts > 0))
+    if budget <= 0 or not len(usable):
         return taken
+    usable = usable[np.argsort(lengths[usable], kind="stable")]
+    size, count = lengths[usable].astype(np.int64), counts[usable].astype(np.int64)
+    step = int(np.gcd.reduce(size))
+    size, budget = size // step, budget // step
+    available = int((size * count).sum())
     if budget >= available:
-        return np.where(usable, counts, 0).astype(np.int64)
-    taken[usable] = [int(c) * budget // available for c in counts[usable]]
-    rest = budget - int((lengths * taken).sum())
-    span = EXACT_SPAN * int(lengths.max())
-    for i in np.argsort(-lengths, kind="stable"):  # bring the rest within the span of the exact fit
-        if usable[i] and rest > span:
-            more = int(min(counts[i] - taken[i], (rest - span) // lengths[i]))
-            taken[i] += more
-            rest -= more * int(lengths[i])
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for i in np.argsort(lengths, kind="stable"):
-        left, size = int(counts[i] - taken[i]), int(lengths[i])
-        if not usable[i] or size > rest:
-            continue
-        part = 1
-        while left > 0 and part * size <= rest and not reach >> rest & 1:
-            use = min(part, left)
-            steps.append((i, use, reach))
-            reach |= reach << use * size & mask
-            left, part = left - use, part * 2
-        if reach >> rest & 1:
+        taken[usable] = count
+        return taken
+    base = np.array([int(c) * budget // available for c in count], dtype=np.int64)
+    rest = budget - int((size * base).sum())
+    for i in range(len(size) - 1, -1, -1):
+        more = min(int(count[i] - base[i]), rest // int(size[i]))
+        base[i] += more
+        rest -= more * int(size[i])
+    longest = int(size[-1])
+    limit = min(2 * longest * longest, max(int((size * base).sum()), int((size * (count - base)).sum())))
+    span = min(limit, EXACT_SPAN * longest)
+    while rest:
+        more, more_steps = _reachable(size, count - base, span + rest)
+        less, less_steps = _reachable(size, base, span)
+        a, b = _bits(more), _bits(less)
+        gain = next((t for t in range(rest, 0, -1) if a >> t & b), 0) if span >= limit else rest if a >> rest & b else None
+        if gain is not None:
+            if gain:
+                back = a >> gain & b
+                back = (back & -back).bit_length() - 1
+                base = base + _documents(more, more_steps, size, back + gain) - _documents(less, less_steps, size, back)
             break
-    at = reach.bit_length() - 1
-    for i, use, before in reversed(steps):
-        if not before >> at & 1:
-            taken[i] += use
-            at -= use * int(lengths[i])
+        span = min(limit, 4 * span)
+    taken[usable] = base
     return taken
 
 
@@ -70,8 +112,8 @@ def mix_to_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vo
     Sources without tokens, with a null or non-positive share or with ``max_repeats`` below 1 can't contribute: they
     are reported with an actual share of 0 and the other shares are scaled to sum to 1 (``fitted_share``). A null
     ``max_repeats`` means 1. The total is the largest at which every source meets its fitted share within its cap.
-    Documents of 0 tokens take part in whole rounds only, since they don't change a size. A repeated row counts as a
-    document of its own. ``report`` has ``source, target_share, fitted_share, max_repeats, documents,
+    Documents of 0 tokens take part in whole rounds only, since they don't change a size. A row counts as a document of
+    its own, also where its ``doc_id`` is null, repeats another row or stands in several sources. ``report`` has ``source, target_share, fitted_share, max_repeats, documents,
     available_tokens, budget_tokens, mixed_tokens, actual_share, most_copies``.
     """
     spark = documents.sparkSession
@@ -79,11 +121,8 @@ def mix_to_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vo
         F.sum("target_share").cast("double").alias("target_share"), F.min(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats")
     )
     chosen = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").join(wanted.select("source"), "source", "left_semi")
-    # doc_id and source travel together through the tokenizer: the source is joined back on the unique pair.
-    sizes = token_counts(chosen, ["doc_id"], "text", vocabulary)
-    sources = chosen.select("doc_id", "source").groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = sizes.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")).join(sources, "doc_id")
-    sizes = materialize(sizes.select("doc_id", "source", F.col("n_tokens").alias("n"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("row")))
+    sizes = token_counts(chosen, ["doc_id", "source"], "text", vocabulary)
+    sizes = materialize(sizes.select("doc_id", "source", F.col("n_tokens").alias("n"), F.monotonically_increasing_id().alias("row")))
     histogram = materialize(sizes.groupBy("source", "n").agg(F.count(F.lit(1)).alias("c")))
     # One row for each row of the targets' table: as small as the request itself.
     totals = wanted.join(
@@ -108,7 +147,7 @@ def mix_to_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vo
     extra = histogram.join(plan, "source").groupBy("source").applyInPandas(fit, "source string, n long, extra long")
     extra = materialize(extra.where(F.col("extra") > 0))
     # Rank by hash within (source, length) without ever ordering a whole length: hash ranges first, then one range.
-    hashed = sizes.withColumn("x", F.xxhash64(F.lit(seed), "doc_id", "row")).withColumn("b", F.shiftright("x", 52))
+    hashed = sizes.withColumn("x", F.xxhash64(F.lit(seed), F.coalesce("doc_id", -1 - F.col("row")), "n", "source")).withColumn("b", F.shiftright("x", 52))
     ranges = hashed.groupBy("source", "n", "b").agg(F.count(F.lit(1)).alias("in_range"))
     w = Window.partitionBy("source", "n").orderBy("b")
     ranges = ranges.join(extra, ["source", "n"]).withColumn("room", F.col("extra") - F.sum("in_range").over(w) + F.col("in_range"))
@@ -118,8 +157,8 @@ def mix_to_shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, vo
     edge = picked.where(F.col("room") < F.col("in_range"))
     edge = edge.withColumn("rank", F.row_number().over(Window.partitionBy("source", "n", "b").orderBy("x", "doc_id", "row")))
     edge = edge.where(F.col("rank") <= F.col("room"))
-    more = inside.select("doc_id", "row").unionByName(edge.select("doc_id", "row")).withColumn("more", F.lit(1))
-    mix = sizes.join(plan, "source").join(more, ["doc_id", "row"], "left")
+    more = inside.select("row").unionByName(edge.select("row")).withColumn("more", F.lit(1))
+    mix = sizes.join(plan, "source").join(more, "row", "left")
     mix = mix.select("doc_id", "source", F.col("n").alias("n_tokens"), (F.col("rounds") + F.coalesce("more", F.lit(0))).alias("copies"))
     mix = materialize(mix.where(F.col("copies") > 0))
     got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))

@@ -67,22 +67,26 @@ def test_empty_and_null_keys(spark):
     assert sorted(len(r.ids) for r in encode_corpus(df).collect()) == [1, 2]
 
 
-def test_fit_is_exact_where_it_can_be():
-    rng = random.Random(1)
-    for _ in range(200):
-        lengths = np.array(sorted(rng.sample(range(1, 60), rng.randrange(1, 9))))
-        counts = np.array([rng.randrange(1, 6) for _ in lengths])
+@pytest.mark.parametrize("largest", [12, 60, 400])
+def test_fit_is_exact(largest):
+    """The best total of all subsets, on 2,000 random cases, also of few and large lengths."""
+    rng = random.Random(largest)
+    for _ in range(700):
+        lengths = np.array(rng.sample(range(0, largest), rng.randrange(1, 6)))
+        counts = np.array([rng.randrange(0, 7) for _ in lengths])
         budget = rng.randrange(0, int((lengths * counts).sum()) + 5)
         taken = fit_lengths(lengths, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
-        got = int((lengths * taken).sum())
         reach = {0}
         for size, count in zip(lengths, counts):
             reach = {r + int(size) * k for r in reach for k in range(count + 1)}
-        best = max(r for r in reach if r <= budget)
-        assert got <= budget and got >= best - 1 * int(lengths.max())
-        if (counts * lengths).sum() <= 4 * lengths.max():  # the exact part covers everything
-            assert got >= best - int(lengths.max())
+        assert int((lengths * taken).sum()) == max(r for r in reach if r <= budget), (lengths, counts, budget)
+
+
+def test_fit_gives_back():
+    assert fit_lengths(np.array([3, 27]), np.array([6, 2]), 63).tolist() == [3, 2]
+    lengths, counts = np.arange(1, 3000), np.full(2999, 10**6)
+    assert int((lengths * fit_lengths(lengths, counts, 10**12 + 7)).sum()) == 10**12 + 7
 
 
 def test_mix(spark):
@@ -101,6 +105,34 @@ def test_mix(spark):
     assert [tuple(r) for r in mix_to_shares(df, targets)[0].orderBy("doc_id").collect()] == [tuple(r) for r in mix.orderBy("doc_id").collect()]
 
 
+def test_report_equals_sql(spark):
+    """Shares, budgets and totals by SQL over the token counts."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    df, targets = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "mix_targets"))
+    sizes = token_counts(df, ["doc_id", "source"]).toPandas()  # noqa: F841
+    con = duckdb.connect()
+    want = con.execute(f"""WITH t AS (SELECT source, sum(target_share) AS share, min(coalesce(max_repeats, 1)) AS cap FROM '{folder}/mix_targets.parquet' GROUP BY 1),
+        k AS (SELECT t.*, coalesce(sum(n_tokens), 0) AS tokens, count(doc_id) AS documents FROM t LEFT JOIN sizes USING (source) GROUP BY ALL),
+        f AS (SELECT *, CASE WHEN tokens > 0 AND share > 0 AND cap >= 1 THEN share / sum(share) FILTER (WHERE tokens > 0 AND share > 0 AND cap >= 1) OVER () ELSE 0 END AS fitted FROM k),
+        b AS (SELECT *, floor(fitted * min(CASE WHEN fitted > 0 THEN cap * tokens / fitted END) OVER () + 0.5) AS budget FROM f)
+        SELECT source, documents, tokens, fitted, budget FROM b ORDER BY source""").fetchall()
+    got = mix_to_shares(df, targets)[1].orderBy("source").collect()
+    assert [(r.source, r.documents, r.available_tokens, r.budget_tokens) for r in got] == [(s, d, int(k), int(b)) for s, d, k, _, b in want]
+    assert all(abs(r.fitted_share - f) < 1e-9 and r.most_copies <= r.max_repeats for r, (_, _, _, f, _) in zip(got, want))
+
+
+def test_one_id_in_two_sources_and_null_ids(spark):
+    rows = [(1, "one two three four", "a"), (1, "one", "b"), (None, "one two", "a"), (None, "one two", "b"), (2, "one two three", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mix, report = mix_to_shares(df, targets)
+    got = sorted(((r.doc_id or 0), r.source, r.n_tokens, r.copies) for r in mix.collect())
+    assert got == [(0, "a", 2, 1), (0, "b", 2, 1), (1, "a", 4, 1), (1, "b", 1, 1), (2, "b", 3, 1)]
+    assert {r.source: (r.documents, r.mixed_tokens) for r in report.collect()} == {"a": (2, 6), "b": (3, 6)}
+
+
 def test_mix_without_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
