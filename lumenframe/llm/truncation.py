@@ -1,6 +1,6 @@
 """Texts that were cut at a field's limit or in mid-transfer.
 
-Two independent kinds of evidence are combined as log-odds for each text:
+Two kinds of evidence are combined as log-odds for each text, and the weight of one is learned with the other:
 
 * Length. A source that cuts at a limit shows a point mass there. For each source a log-normal distribution of
   lengths is fitted by maximum likelihood with values at or beyond a candidate limit right-censored (EM); the
@@ -10,7 +10,13 @@ Two independent kinds of evidence are combined as log-odds for each text:
   learned from the corpus: shapes of unpunctuated lines that stand, finished, in front of an empty line (headings and
   the like), and closing lines that texts of different lengths share and that end texts more often than they begin
   longer lines: a cut tail is the beginning of other lines, a closing phrase isn't. List entries, code, table rows,
-  links and sign-offs are told by their form. At a sure limit a form counts as cut, a full stop doesn't.
+  links and sign-offs are told by their form.
+
+How much an ending says isn't set but estimated: EM over the corpus's counts of (posterior of the limit, ending) gives
+how often cut and whole texts end in each way, and how often texts are cut off the limits. What the task defines are
+its labelled cases: running text that stops is cut, a full stop isn't. All other endings start at their limit's posterior
+and are learned: a list entry, a row of code or a heading counts as cut at one source's limit and as whole at the same
+length elsewhere.
 """
 
 from __future__ import annotations
@@ -25,22 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.runtime import broadcast_if_small, materialize
+from lumenframe.functions.runtime import broadcast_if_small, materialize, stored
 
-#: A closing line is looked at as a stock phrase if it's shorter than this and ends texts of so many different lengths.
-STOCK_CHARS, STOCK_LENGTHS = 60, 4
-#: Closing lines up to which the lines of the corpus are compared without a shuffle; the result is the same.
+#: A closing line is looked at as a stock phrase if it ends texts of so many different lengths.
+STOCK_LENGTHS = 4
+#: Tables up to this many rows are joined without a shuffle; the result is the same.
 BROADCAST_LINES = 100_000
 #: Lengths with at least so many texts, and so many times the fit's expectation, are candidate limits.
 LIMIT_COUNT, LIMIT_EXCESS = 5, 4.0
-#: Log-odds of a cut given the ending alone. What is complete by its form (list entry, code, row, heading) looks much the
-#: same when it's cut, so a limit outweighs it from a posterior of 0.953 on. A cut meets the very end of a stock line about
-#: once in a thousand times.
-ENDS_OPEN, ENDS_MARKED, ENDS_CLOSED, ENDS_FORM, ENDS_STOCK = 6.0, 7.0, -9.0, -3.0, -7.0
-#: Chance of a cut off the limits, and the most that a limit can say: less than a full stop, more than a stock line.
-PRIOR, SUREST = 0.01, 0.9998
+#: Where EM starts: the chance of a cut off the limits, and the endings with the label of those that the task defines.
+START_RATE = 0.01
+ENDINGS = {"open": 1.0, "marked": 1.0, "closed": 0.0, "stock": None, "form": None, "link": None}
+#: Texts that every ending is taken to have been seen on beforehand, cut and whole.
+SMOOTH = 0.01
 #: A limit speaks against a form only if more than this share of its texts stop open, or less than that of the source's go beyond.
 OPEN_SHARE, BEYOND_SHARE = 0.5, 0.02
+#: A heading has at most so many words and signs.
+HEADING_TOKENS = 8
 
 #: What may stand behind a cut.
 MARKER = re.compile(
@@ -53,22 +60,23 @@ LIST = re.compile(r"^\s*(?:[-*•·–+]|\d{1,3}[.)]|[a-z][.)])\s+\S")
 CODE = re.compile(r"^(?:\t| {2,})\S|^(?:def|class|import|from|return|for|if|while|SELECT|INSERT|#include)\b.*[:;(){}\]]\s*$|[{};]\s*$")
 #: A row of short cells; a long one is running text that follows a table.
 TABLE = re.compile(r"^\s*\|?\s*[^|\n]{1,40}(?:\s*\|\s*[^|\n]{1,40})+\s*\|?\s*$")
+SENTENCES = re.compile(r"[.?!] [^\W\d_]")
 LINK = re.compile(r"^[a-z][a-z0-9+.-]*://[^\s/]+\.[^\s/.]{2,}(?:/\S*)?$", re.I)
 SIGN_OFF = re.compile(r"^(?:--|—|–)\s*\S|^\((?:[^()]*)\)$")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
 def line_shape(line: str) -> str:
-    """Form of a line: A a capitalised word, a another, 9 a number, other signs as they are; '' if over 8 tokens."""
+    """Form of a line: A a capitalised word, a another, 9 a number, other signs as they are; '' if too long for a heading."""
     tokens = TOKEN.findall(line)
-    if len(tokens) > 8:
+    if len(tokens) > HEADING_TOKENS:
         return ""
     return " ".join("9" if t.isdigit() else ("A" if t[0].isupper() else "a") if t.isalpha() else t for t in tokens)
 
 
 def _features(batches):
     for batch in batches:
-        out: dict = {"d": [], "s": [], "n": [], "last": [], "shape": [], "kind": [], "stock": [], "whole": [], "h": [], "bare": []}
+        out: dict = {"d": [], "s": [], "n": [], "last": [], "shape": [], "kind": [], "stock": [], "whole": [], "h": [], "bare": [], "unmarked": []}
         for d, s, text, h in zip(*(column.to_pylist() for column in batch.columns)):
             core = (text or "").rstrip()
             if not core:
@@ -90,7 +98,7 @@ def _features(batches):
                 kind = "form"
             elif LIST.match(last) or CODE.search(last):
                 kind = "closed"
-            elif TABLE.match(last):
+            elif TABLE.match(last) and not SENTENCES.search(last):
                 kind = "row"
             elif LINK.match(last.strip()):
                 kind = "link"
@@ -109,13 +117,14 @@ def _features(batches):
             out["d"].append(d)
             out["s"].append(s)
             out["n"].append(len(text))
-            out["last"].append(last.strip()[:200])
+            out["last"].append(last.strip() if kind in ("marked", "open", "inside") else None)
             out["shape"].append(("L " if kind == "link" else "") + line_shape(last.strip()))
             out["kind"].append(kind)
             out["stock"].append(len(stock))
             out["whole"].append(sorted(finished))
             out["h"].append(h)
-            out["bare"].append(bare.strip()[:200])
+            out["bare"].append(bare.strip() if kind in ("marked", "open", "inside") else None)
+            out["unmarked"].append(bare == last)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(out["d"], pa.int64()),
@@ -128,28 +137,29 @@ def _features(batches):
                 pa.array(out["whole"], pa.list_(pa.string())),
                 pa.array(out["h"], pa.int64()),
                 pa.array(out["bare"], pa.string()),
+                pa.array(out["unmarked"], pa.bool_()),
             ],
             names=list(out),
         )
 
 
-_FEATURES = "d long, s string, n long, last string, shape string, kind string, stock int, whole array<string>, h long, bare string"
+_FEATURES = "d long, s string, n long, last string, shape string, kind string, stock int, whole array<string>, h long, bare string, unmarked boolean"
 
 
 def _starts(batches):
-    """(line, c): the first STOCK_CHARS of lines without cut marks, with their counts in the batch."""
+    """(line, c): lines without cut marks, with their counts in the batch."""
     for batch in batches:
         counts: Counter = Counter()
         for text in batch.column(0).to_pylist():
             for line in text.split("\n"):
-                line = MARKER.sub("", line[: 4 * STOCK_CHARS]).strip()
+                line = MARKER.sub("", line).strip()
                 if line:
-                    counts[line[:STOCK_CHARS]] += 1
+                    counts[line] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["line", "c"])
 
 
-#: Lines are looked up by their first 1, 2, 4 ... signs, the most that a closing line has.
-_WIDTHS = [1 << k for k in range(STOCK_CHARS.bit_length())]
+#: Lines are looked up by their first 1, 2, 4 ... signs, the most of these that a closing line has, and then compared whole.
+_WIDTHS = [1, 2, 4, 8, 16, 32, 64]
 
 
 def _keys(column: str):
@@ -161,7 +171,7 @@ def stock_lines(features: DataFrame, texts: DataFrame) -> DataFrame:
 
     Different texts must end with the line more often than lines of the corpus go on from it.
     """
-    closing = features.where(F.col("kind").isin("marked", "open", "inside") & (F.length("last") < STOCK_CHARS))
+    closing = features.where(F.col("kind").isin("marked", "open", "inside"))
     closing = closing.groupBy("last", "kind").agg(F.first("bare").alias("bare"), F.countDistinct("n").alias("lengths"), F.countDistinct("h").alias("ends"))
     closing = materialize(closing.where(F.col("lengths") >= STOCK_LENGTHS))
     asked = closing.where("bare <> ''").select("bare", F.coalesce(*reversed(_keys("bare"))).alias("key")).distinct()
@@ -217,10 +227,36 @@ def censoring(group: pd.DataFrame) -> pd.DataFrame:
             mean, dev = fit_censored(logs, c, at)
         hard = ((opens + marks) / c > OPEN_SHARE) | (c.sum() - np.cumsum(c) < BEYOND_SHARE * c.sum())
         marking = marks / c > OPEN_SHARE
-        out = [(group.s.iloc[0], int(x), float(min(SUREST, 1 - e / k)), bool(f), bool(m)) for x, k, e, f, m in zip(n[at], c[at], expected[at], hard[at], marking[at])]
+        out = [(group.s.iloc[0], int(x), float((k - min(e, k)) / (k + 0.5)), bool(f), bool(m)) for x, k, e, f, m in zip(n[at], c[at], expected[at], hard[at], marking[at])]
     return pd.DataFrame(out, columns=["s", "n", "posterior", "hard", "marking"]).astype({"n": "int64", "posterior": "float64", "hard": "bool", "marking": "bool"})
 
 
+def ending_weights(table: list) -> tuple[dict, float]:
+    """(log-odds of a cut by ending, rate of cuts off the limits) by EM over ``(posterior or 0, ending, texts)``.
+
+    A posterior of 0 stands for a text off the limits. Cut and whole texts have one distribution of endings each. Labelled
+    endings keep their label while the others are learned, and these are learned as endings of cut texts only at limits,
+    as nothing tells the two apart elsewhere. What labelled endings weigh in the end follows from the counts too.
+    """
+    prior = np.array([p for p, _, _ in table], dtype=float)
+    count = np.array([c for _, _, c in table], dtype=float)
+    ending = np.array([list(ENDINGS).index(e) for _, e, _ in table], dtype=int)
+    off, rate = prior == 0, START_RATE
+    label = np.array([-1.0 if v is None else v for v in ENDINGS.values()])[ending]
+    cut = np.where(label < 0, np.where(off, rate, prior), label)
+    weights = np.zeros(len(ENDINGS))
+    for _ in range(200):
+        ends = [np.bincount(ending, w * count, minlength=len(ENDINGS)) + SMOOTH for w in (np.where(off & (label < 0), 0.0, cut), 1 - cut)]
+        new = np.log(ends[0] / ends[0].sum()) - np.log(ends[1] / ends[1].sum())
+        rate = min(0.5, max(1e-6, float((cut * count)[off & (label >= 0)].sum() / max(count[off].sum(), 1.0)))) if off.any() else rate
+        done = np.abs(new - weights).max() < 1e-6
+        weights, p = new, np.where(off, rate, prior)
+        cut = np.where(label < 0, 1 / (1 + np.exp(-(np.log(p / (1 - p)) + weights[ending]))), label)
+        if done:
+            break
+    return {e: float(w) for e, w in zip(ENDINGS, weights)}, rate
+
+
 def score_truncation(documents: DataFrame) -> DataFrame:
     """``doc_id, source, n_chars, ending, limit_posterior, log_odds, truncated`` of each document with some text.
 
@@ -242,38 +278,38 @@ def score_truncation(documents: DataFrame) -> DataFrame:
     finished = features.select(F.explode("whole").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("finished"))
     final = features.where(F.col("kind").isin("open", "link")).groupBy("shape").agg(F.count(F.lit(1)).alias("final"))
     shapes = final.join(finished, "shape").where(F.col("finished") >= F.greatest(F.lit(3), F.col("final"))).select("shape", F.lit(True).alias("is_whole"))
-    joined = (
-        features.withColumn("src", source)
-        .join(limits.withColumnRenamed("s", "src"), ["src", "n"], "left")
-        .join(stock, ["last", "kind"], "left")
-        .join(shapes, "shape", "left")
-    )
+    limits, stock, shapes = (materialize(t) for t in (limits, stock, shapes))
+    asked = F.col("kind").isin("marked", "open", "inside")  # only these endings are looked up, so no key is null
+    stock_hint, shape_hint, limit_hint = (broadcast_if_small(t, t.count(), BROADCAST_LINES) for t in (stock, shapes, limits.withColumnRenamed("s", "src")))
+    looked = features.where(asked).join(stock_hint, ["last", "kind"], "left")
+    looked = looked.unionByName(features.where(~asked).withColumn("is_stock", F.lit(None).cast("boolean")))
+    joined = looked.withColumn("src", source).join(limit_hint, ["src", "n"], "left").join(shape_hint, "shape", "left")
     is_stock = F.coalesce("is_stock", F.lit(False))
-    form = F.col("kind").isin("form", "row") | (F.col("kind").isin("open", "link") & (F.col("shape") != "") & F.coalesce("is_whole", F.lit(False)))
-    ending = (
-        F.when(is_stock | form | (F.col("kind") == "closed"), "complete")
-        .when(F.col("kind") == "marked", "marker")
-        .when(F.col("kind") == "link", "link")
-        .otherwise("open")
-    )
+    whole = F.col("kind").isin("open", "link") & (F.col("shape") != "") & F.coalesce("is_whole", F.lit(False))
     evidence = (
-        F.when(F.col("kind") == "closed", ENDS_CLOSED)
-        .when(is_stock, ENDS_STOCK)
-        .when(form, ENDS_FORM)
-        .when(ending == "marker", ENDS_MARKED)
-        .when(ending == "link", F.when(F.col("shape").endswith("a . a"), 0.0).otherwise(-3.0))
-        .otherwise(ENDS_OPEN)
+        F.when(F.col("kind") == "closed", "closed")
+        .when(is_stock, "stock")
+        .when(whole | F.col("kind").isin("form", "row"), "form")
+        .when(F.col("kind") == "inside", "open")
+        .otherwise(F.col("kind"))
     )
     # A limit that leaves marks cut no text without one.
-    heard = ~(is_stock | form) | (F.col("hard") & (~F.col("marking") | (F.col("bare") != F.col("last"))))
-    prior = F.greatest(F.lit(PRIOR), F.when(heard, F.coalesce("posterior", F.lit(0.0))).otherwise(0.0))
-    scored = joined.withColumn("ending", ending).withColumn("lo", F.log(prior / (1 - prior)) + evidence)
+    heard = ~F.col("evidence").isin("stock", "form") | (F.col("hard") & (~F.col("marking") | ~F.col("unmarked")))
+    joined = joined.withColumn("evidence", evidence).withColumn("p", F.when(heard, F.coalesce("posterior", F.lit(0.0))).otherwise(0.0))
+    joined = stored(joined.select("d", "s", "n", "evidence", "p", F.coalesce("posterior", F.lit(0.0)).alias("posterior"), F.col("h")))
+    once = joined.select("s", "h", "evidence", "p").distinct()
+    table = once.groupBy(F.round("p", 3).alias("p"), "evidence").agg(F.count(F.lit(1)).alias("c"))  # at most 1,001 x 6 rows
+    weights, rate = ending_weights([(min(r.p, 0.9995), r.evidence, r.c) for r in table.collect()])
+    prior = F.when(F.col("p") > 0, F.col("p")).otherwise(F.lit(rate))
+    lo = F.log(prior / (1 - prior)) + F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("evidence")]
+    ending = F.when(F.col("evidence").isin("closed", "stock", "form"), "complete").when(F.col("evidence") == "marked", "marker").otherwise(F.col("evidence"))
+    scored = joined.withColumn("ending", ending).withColumn("lo", lo)
     return scored.select(
         F.col("d").alias("doc_id"),
         F.col("s").alias("source"),
         F.col("n").alias("n_chars"),
         "ending",
-        F.coalesce("posterior", F.lit(0.0)).alias("limit_posterior"),
+        F.col("posterior").alias("limit_posterior"),
         F.col("lo").alias("log_odds"),
         (F.col("lo") > 0).alias("truncated"),
     )

@@ -3,7 +3,7 @@
 from lumenframe.llm import scans
 from lumenframe.llm.personal import personal_fields, redact_personal
 from lumenframe.llm.scans import page_furniture, readings, repair_scans, scan_noise
-from lumenframe.llm.truncation import line_shape, score_truncation, truncation_rates
+from lumenframe.llm.truncation import ending_weights, line_shape, score_truncation, truncation_rates
 
 PLAIN = "The modern amber certificate returned to the tramway before the forecast of the people."
 
@@ -141,6 +141,40 @@ def test_a_sure_limit_outweighs_the_form_of_the_ending(spark):
     assert got == set(range(1000, 1080))
 
 
+def test_the_same_ending_flips_with_the_lengths_of_its_source(spark):
+    """One text, in a source that stops at its length and in one that doesn't; the weight of its ending is learned."""
+    base = "The desk has it. "
+    text = base * 20 + "It is late.\n\n- amber cache for the des"
+    size = len(text)
+    rows = [(i, base * (3 + i % 60) + "It is late.", s) for s in ("limited", "free") for i in range(400)]
+    rows = [(i, t, s) for i, t, s in rows if s == "free" or len(t) < size]
+    for i in range(60):
+        body = f"Note {i:02d} of the desk. " + base * 30
+        rows.append((0, (body[: size - 26] + "\n\n- amber cache for the des")[:size] if i % 2 else body[: size - 1] + "k", "limited"))
+    rows += [(0, base * (i + 2) + "It is late.\n\n- amber cache for the des", "free") for i in range(40)]
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(rows)] + [(90_000, text, "limited"), (90_001, text, "free")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in score_truncation(df).collect()}
+    assert got[90_000].truncated and not got[90_001].truncated
+    assert got[90_000].ending == got[90_001].ending == "complete" and got[90_000].limit_posterior > 0.9 and got[90_001].limit_posterior == 0
+    rates = {r.source: r for r in truncation_rates(df).collect()}
+    assert rates["limited"].limit_chars == size and rates["limited"].truncated == 61 and rates["free"].truncated == 0
+
+
+def test_ending_weights():
+    weights, rate = ending_weights([(0.99, "open", 900), (0.99, "form", 100), (0.0, "closed", 9000), (0.0, "form", 900), (0.0, "open", 100)])
+    assert -2 < weights["form"] < 0.5 < weights["open"] and weights["closed"] < -5 and 0.008 < rate < 0.03
+    assert ending_weights([]) [1] == 0.01
+
+
+def test_long_closing_lines_are_stock_phrases_too(spark):
+    phrase = "This entry was written by the desk of the amber cache and may be read by all who come by"
+    rows = [(i, "The desk has it.\n" * (i + 1) + "It was late.\n" + phrase, "free") for i in range(30)]
+    rows += [(100 + i, "The desk has it. " * (i + 1) + "All is well.", "free") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert score_truncation(df).where("truncated").count() == 0
+
+
 def test_repair_is_the_same_for_tables_of_any_size(make_frames, monkeypatch):
     """Tables too large to send out give the same texts: a value is repaired once, with all its words."""
     page = "Record of the Brittle Margin\n[{}]\nThe mod-\nern am-\nber certi-\nficate retur-\nned to the tram-\nway be-\nfore the fore-\ncast of the peo-\nple.\n"
