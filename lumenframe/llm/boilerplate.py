@@ -29,7 +29,7 @@ _LETTERS = r"^\P{L}*\p{L}+\P{L}+\p{L}+\P{L}+\p{L}"
 
 def _lines(texts: DataFrame, source: str, text: str, key: str) -> DataFrame:
     """key, source, lines: the text's lines in lower case, without digits, with single blanks and none outside."""
-    plain = F.regexp_replace(F.lower(F.col(text)), "[0-9]+", "")
+    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[0-9]+", "")
     plain = F.regexp_replace(plain, r"(?U)[\s&&[^\n]]+", " ")
     lines = F.split(F.trim(plain), " ?\n ?")
     return texts.select(F.col(key).alias("k"), F.col(source).alias("s"), lines.alias("lines")).where(
@@ -46,16 +46,16 @@ def frequent_occurrences(
     min_share: float = MIN_SHARE,
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, occurrences): ``s, line, texts`` of each frequent line; ``k, s, line, line_no`` of each place of one."""
-    totals = (
-        texts.where(F.col(source).isNotNull() & (F.col(source) != ""))
-        .groupBy(F.col(source).alias("s"))
-        .agg(F.count(F.lit(1)).alias("total"))
-    )
-    enough = F.greatest(F.lit(float(min_texts)), F.col("total") * F.lit(min_share))
     lines = _lines(texts, source, text, key)
-    single = lines.select("s", F.explode(F.array_distinct("lines")).alias("line")).where(F.length("line") >= 5)
-    hashed = single.groupBy("s", F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_texts)
-    frequent = materialize(hashed.join(totals, "s").where(F.col("n") >= enough).select("s", "h"))
+    # A null beside each text's distinct lines counts the texts of the source in the same pass.
+    single = lines.select("s", F.explode(F.concat(F.array_distinct("lines"), F.array(F.lit(None).cast("string")))).alias("line"))
+    single = single.where(F.col("line").isNull() | (F.length("line") >= 5)).select("s", F.when(F.col("line").isNotNull(), F.xxhash64("line")).alias("h"))
+    hashed = single.groupBy("s", "h").agg(F.count(F.lit(1)).alias("n"))
+    hashed = materialize(hashed.where(F.col("h").isNull() | (F.col("n") >= min_texts)))
+    totals = hashed.where(F.col("h").isNull()).select("s", F.col("n").alias("total"))
+    totals = broadcast_if_small(totals, totals.count(), BROADCAST_LINES)
+    enough = F.greatest(F.lit(float(min_texts)), F.col("total") * F.lit(min_share))
+    frequent = materialize(hashed.where(F.col("h").isNotNull()).join(totals, "s").where(F.col("n") >= enough).select("s", "h"))
     hint = broadcast_if_small(frequent, frequent.count(), BROADCAST_LINES)
     placed = lines.select("k", "s", F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= 5)
     places = placed.withColumn("h", F.xxhash64("line")).join(hint, ["s", "h"])
