@@ -2,14 +2,17 @@
 
 1. Candidates: every span that could be an e-mail address, a number of a person, a street address or two parts of a
    name is taken out of each field together with its form (digits as 9, letters as classes) and its lexical context.
-2. Bootstrapping over the graph of patterns and instances. For numbers and addresses a few forms are seeds (numbers
-   with a country code, social-security-like numbers, known kinds of streets). Contexts in which mostly accepted forms
-   stand are accepted, forms that mostly stand in accepted contexts are accepted, and so on. For names the table of
-   known parts is the seed: pairs of known parts induce contexts, and an unseen part that stands beside several known
-   ones in accepted contexts becomes known itself. Iterations work on aggregated graphs, not on texts.
+   Nothing known narrows them, but for names without capitals, which would be all pairs of words: of these, those whose
+   words pass a filter of the known parts (one bit array of fixed size, whatever the number of parts) are candidates.
+2. Bootstrapping over the graph of patterns and instances. For addresses, numbers and streets a few forms are seeds
+   (e-mail addresses with signs for "at" and "dot", numbers with a country code, social-security-like numbers, known kinds
+   of streets). Contexts in which mostly accepted forms stand are accepted, forms that mostly stand in accepted contexts
+   are accepted, and so on. For names the table of known parts is the seed: pairs of known parts induce contexts, and an
+   unseen part that stands beside several known ones in accepted contexts becomes known itself. Iterations work on
+   aggregated graphs, not on texts.
 3. Each candidate is judged by its form, its context and its parts; accepted ones are found or replaced.
 
-No text is collected; the table of known parts is sent to the workers only after a check of its size.
+No text is collected; the driver gets the bit array and counts.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.functions.runtime import broadcast_if_small, materialize
+from lumenframe.functions.runtime import broadcast_if_small, materialize, stored
 
 FIELDS = ("text", "window_title", "extra_context")
 ROUNDS = 3
 MIN_SUPPORT, MIN_CONFIDENCE = 2, 0.5
 #: Seeds are only some of the true forms, so a context needs a smaller share of accepted ones than a form of contexts.
 CONTEXT_CONFIDENCE = 0.2
-MAX_PARTS = 200_000
 BROADCAST_ROWS = 200_000
+#: Bits of the filter of known parts: 128 kB. A filter that is full lets more candidates through, never fewer.
+FILTER_BITS = 1 << 20
 
 _L = r"[^\W\d_]"
 EMAIL = re.compile(
@@ -37,6 +41,8 @@ EMAIL = re.compile(
     r"([a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:(?:\.|\[dot\]|\(dot\))[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+)>?",
     re.I,
 )
+#: The same in words; an address only where its context says so.
+SPOKEN = re.compile(r"(?<![\w.@+-])(\w[\w.+-]*) at ((?:[a-z0-9][a-z0-9-]*[ .](?:dot )?)*?[a-z0-9][a-z0-9-]* dot [a-z]{2,})(?![\w@])", re.I)
 #: Endings of file names, which are no top-level domains.
 FILE_ENDINGS = {"png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "bmp", "pdf", "txt", "csv", "json", "xml", "yaml", "yml", "toml", "md", "py", "js", "ts", "css", "html", "log", "sql", "zip", "gz", "tar", "exe", "dll", "so", "ini", "cfg", "conf", "sh"}
 NUMBER = re.compile(
@@ -76,50 +82,57 @@ def _capital(word: str) -> bool:
     return word[0].isupper() and len(word) > 1
 
 
-def _names(line: str, base: int, known: dict, out: list) -> None:
-    words = [m for m in WORD.finditer(line) if m.group()[0].isupper()]
+def _names(line: str, base: int, may_be_part, out: list) -> None:
+    """Candidates for names. Pairs that don't overlap teach contexts and parts; all others are judged only."""
+    every = list(WORD.finditer(line))
+
+    def add(form, a, b, start, end):
+        out.append(("name", form, a.lower(), b.lower(), _context(line, start), base + start, base + end))
+
+    for m, n in zip(every, every[1:]):
+        a, b = m.group(), n.group()
+        if not (a[0].isupper() and b[0].isupper()) and may_be_part(a) and may_be_part(b) and line[m.end() : n.start()] == " ":
+            add("small", a, b, m.start(), n.end())
+    words = [m for m in every if m.group()[0].isupper()]
     used = -1
-    for i, m in enumerate(words):
-        first = m.group()
-        if i <= used or first.lower() in TITLES:
+    for i, (m, n) in enumerate(zip(words, words[1:])):
+        first, second = m.group(), n.group()
+        if first.lower() in TITLES:
             continue
-        if i + 1 >= len(words):
-            break
-        second = words[i + 1].group()
-        gap = line[m.end() : words[i + 1].start()]
-        end, last, form = words[i + 1].end(), i + 1, ""
+        gap, dot = line[m.end() : n.start()], line[n.end() : n.end() + 1] == "."
         if len(first) == 1:
-            if gap == ". " and _capital(second) and second.lower() not in TITLES:
-                form, a, b = "initial", first.lower(), second.lower()
-        elif gap == " " and len(second) == 1 and i + 2 < len(words) and line[words[i + 1].end() : words[i + 2].start()] in (". ", " "):
-            third = words[i + 2].group()
-            if _capital(third):
-                form, a, b, end, last = "pair", first.lower(), third.lower(), words[i + 2].end(), i + 2
-        elif gap == " " and _capital(second):
-            form, a, b = "pair", first.lower(), second.lower()
-        elif gap == ", " and len(second) == 1 and line[words[i + 1].end() : words[i + 1].end() + 1] == "." and first.lower() in known:
-            form, a, b, end = "initial", second.lower(), first.lower(), words[i + 1].end() + 1
-        elif gap == ", " and _capital(second) and second.lower() not in TITLES:
-            form, a, b = "turned", second.lower(), first.lower()
-        if not form or (form != "initial" and a not in known and b not in known and not (first[1:].islower() and form == "pair")):
+            if gap == ". " and _capital(second) and second.lower() not in TITLES and i > used:
+                add("initial", first, second, m.start(), n.end())
             continue
-        if form == "turned" and a not in known and b not in known:
-            continue
-        if form == "pair" or b in known or a in known:
-            used = last if (form == "pair" or a in known) else used
-        out.append(("name", form, a, b, _context(line, m.start()), base + m.start(), base + end))
+        stop, part = n.end(), second
+        if gap == " " and len(second) == 1 and i + 2 < len(words) and line[n.end() : words[i + 2].start()] in (". ", " "):
+            part, stop = words[i + 2].group(), words[i + 2].end()
+        if gap == " " and _capital(part):
+            taught = i > used and first[1:].islower()
+            add("pair" if taught else "beside", first, part, m.start(), stop)
+            used = (i + 1 + (part is not second)) if taught else used
+        elif gap == ", " and len(second) == 1 and dot:
+            add("initial", second, first, m.start(), n.end() + 1)
+        elif gap == ", " and _capital(second) and second.lower() not in TITLES:
+            add("turned", second, first, m.start(), n.end())
 
 
-def _candidates(value: str, known: dict) -> list:
+def _candidates(value: str, may_be_part) -> list:
     out: list = []
     base = 0
     for line in value.split("\n"):
-        if "@" in line or "at)" in line.lower() or "at]" in line.lower():
+        low = line.lower() if "@" in line or "at" in line or "AT" in line or "At" in line else ""
+        if "@" in low or "at)" in low or "at]" in low:
             for m in EMAIL.finditer(line):
                 host = re.split(r"\.|\[dot\]|\(dot\)", m.group(2), flags=re.I)
                 good = host[-1].isalpha() and len(host[-1]) > 1 and host[-1].lower() not in FILE_ENDINGS
                 if good and not line[m.end() :].startswith((":~", ":/")):
-                    out.append(("email", "email", m.group().lower(), "", _context(line, m.start()), base + m.start(), base + m.end()))
+                    signs = " ".join(dict.fromkeys(re.findall(r"@|[(\[]at[)\]]|[(\[]dot[)\]]", m.group().lower())))
+                    out.append(("email", signs, m.group().lower(), "", _context(line, m.start()), base + m.start(), base + m.end()))
+        if " at " in low and " dot " in low:
+            for m in SPOKEN.finditer(line):
+                context = _context(line, m.start())
+                out.append(("email", f"spoken {context}", m.group().lower(), "", context, base + m.start(), base + m.end()))
         digits = sum(map(str.isdigit, line))
         if digits >= 6:
             for m in NUMBER.finditer(line):
@@ -139,20 +152,53 @@ def _candidates(value: str, known: dict) -> list:
                         continue
                     form = ("<" if m["pre"] or m["pre3"] else ">") + kind
                 out.append(("address", form, m.group().lower(), "", _context(line, m.start()), base + m.start(), base + m.end()))
-        _names(line, base, known, out)
+        _names(line, base, may_be_part, out)
         base += len(line) + 1
     return out
 
 
-def _extract(known: dict):
+def _bit(word: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(word.lower()) % FILTER_BITS
+
+
+def _part_bits(batches):
+    bits = bytearray(FILTER_BITS // 8)
+    for batch in batches:
+        for part in batch.column(0).to_pylist():
+            if part:
+                bits[_bit(part) >> 3] |= 1 << (_bit(part) & 7)
+    yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], names=["bits"])
+
+
+def _part_filter(parts: DataFrame) -> bytes:
+    """The filter of known parts; as long as FILTER_BITS says, one array a partition of the table reaches the driver."""
+    bits = bytearray(FILTER_BITS // 8)
+    for row in parts.select("name_part").mapInArrow(_part_bits, "bits binary").toLocalIterator():
+        bits = bytearray(x | y for x, y in zip(bits, row.bits))
+    return bytes(bits)
+
+
+def _extract(bits):
     def run(batches):
+        seen: dict = {}
+
+        def may_be_part(word):
+            known = seen.get(word)
+            if known is None:
+                if len(seen) > 500_000:
+                    seen.clear()
+                known = seen[word] = bool(bits.value[_bit(word) >> 3] >> (_bit(word) & 7) & 1)
+            return known
+
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             rows: list = []
             for key, *values in zip(*columns):
                 for field, value in zip(FIELDS, values):
                     if value:
-                        rows += [(key, field, *c) for c in _candidates(value, known)]
+                        rows += [(key, field, *c) for c in _candidates(value, may_be_part)]
             arrays = list(zip(*rows)) or [[]] * 9
             types = [pa.int64(), *[pa.string()] * 6, pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, types)], names=["k", "field", "cls", "form", "a", "b", "ctx", "start", "stop"])
@@ -163,37 +209,26 @@ def _extract(known: dict):
 _CANDIDATE = "k long, field string, cls string, form string, a string, b string, ctx string, start int, stop int"
 
 
-def _known_parts(parts: DataFrame) -> dict:
-    """Known name parts in lower case with their kind; refuses a table too large to send to the workers."""
-    rows = parts.select(F.lower("name_part"), F.lower("kind")).where("name_part is not null").distinct().limit(MAX_PARTS + 1).collect()
-    if len(rows) > MAX_PARTS:
-        raise ValueError(f"more than {MAX_PARTS} known name parts")
-    known: dict = {}
-    for part, kind in rows:
-        known.setdefault(part, set()).add("g" if kind == "given" else "s")
-    return known
-
-
 def extract_candidates(frames: DataFrame, parts: DataFrame) -> DataFrame:
     """Checkpointed table of candidate spans of all fields: ``k, field, cls, form, a, b, ctx, start, stop``."""
-    known = _known_parts(parts)
-    return materialize(frames.select(F.col("id").cast("long").alias("k"), *FIELDS).mapInArrow(_extract(known), _CANDIDATE))
+    bits = frames.sparkSession.sparkContext.broadcast(_part_filter(parts))
+    return stored(frames.select(F.col("id").cast("long").alias("k"), *FIELDS).mapInArrow(_extract(bits), _CANDIDATE))
 
 
-def _bootstrap_forms(edges: DataFrame, seeds) -> DataFrame:
-    """(form, kind) accepted after ROUNDS passes over the graph ``form, ctx, n``; ``seeds`` gives the kind or null."""
+def _bootstrap_forms(edges: DataFrame) -> DataFrame:
+    """(cls, form, kind) accepted after ROUNDS passes over the graph ``cls, form, ctx, n, kind``; ``kind`` is that of seeds or null."""
     # A context of no word at all, the bare start of a line, says nothing.
-    edges = materialize(edges.withColumn("kind", seeds).withColumn("ctx", F.when(F.col("ctx") != "^ ^", F.col("ctx"))))
-    forms = edges.where(F.col("kind").isNotNull()).select("form", "kind").distinct()
-    fixed = forms
+    edges = materialize(edges.withColumn("ctx", F.when(F.col("ctx") != "^ ^", F.col("ctx"))))
+    fixed = edges.where(F.col("kind").isNotNull()).select("cls", "form", "kind").distinct()
+    plain, forms = edges.drop("kind"), fixed
+    totals = materialize(plain.groupBy("cls", "ctx").agg(F.sum("n").alias("all")))
+    weights = materialize(plain.groupBy("cls", "form").agg(F.sum("n").alias("all")))
     for _ in range(ROUNDS):
-        total = edges.groupBy("ctx").agg(F.sum("n").alias("all"))
-        hits = edges.drop("kind").join(forms, "form").groupBy("ctx", "kind").agg(F.sum("n").alias("p")).join(total, "ctx")
-        contexts = hits.where((F.col("p") >= MIN_SUPPORT) & (F.col("p") > CONTEXT_CONFIDENCE * F.col("all"))).select("ctx", "kind")
-        weight = edges.groupBy("form").agg(F.sum("n").alias("all"))
-        found = edges.drop("kind").join(contexts, "ctx").groupBy("form", "kind").agg(F.sum("n").alias("p")).join(weight, "form")
-        found = found.where((F.col("p") >= MIN_SUPPORT) & (F.col("p") > MIN_CONFIDENCE * F.col("all"))).select("form", "kind")
-        forms = materialize(fixed.unionByName(found.join(fixed.select("form"), "form", "left_anti")))
+        hits = plain.join(forms, ["cls", "form"]).groupBy("cls", "ctx", "kind").agg(F.sum("n").alias("p")).join(totals, ["cls", "ctx"])
+        contexts = hits.where((F.col("p") >= MIN_SUPPORT) & (F.col("p") > CONTEXT_CONFIDENCE * F.col("all"))).select("cls", "ctx", "kind")
+        found = plain.join(contexts, ["cls", "ctx"]).groupBy("cls", "form", "kind").agg(F.sum("n").alias("p")).join(weights, ["cls", "form"])
+        found = found.where((F.col("p") >= MIN_SUPPORT) & (F.col("p") > MIN_CONFIDENCE * F.col("all"))).select("cls", "form", "kind")
+        forms = materialize(fixed.unionByName(found.join(fixed.select("cls", "form"), ["cls", "form"], "left_anti")))
     return forms
 
 
@@ -231,31 +266,33 @@ def _bootstrap_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 def personal_spans(frames: DataFrame, parts: DataFrame) -> DataFrame:
     """``id, field, kind, start, stop`` of each accepted span (offsets in code points, within the field's value)."""
     found = extract_candidates(frames, parts)
-    edges = found.where(F.col("cls").isin("number", "address")).groupBy("cls", "form", "ctx").agg(F.countDistinct("a").alias("n"))
-    edges = materialize(edges)
-    number_seed = F.when(F.col("form").rlike(r"^\+9"), "phone").when(
-        F.col("form").rlike(r"^(?:ssn 9{9}|(?:ssn )?999-99-9999|(?:nino )?AA ?99 ?99 ?99 ?A|(?:nie |dni )?A9999999A)$"), "id_number"
-    )
-    numbers = _bootstrap_forms(edges.where("cls = 'number'").drop("cls"), number_seed)
+    edges = found.where(F.col("cls") != "name").groupBy("cls", "form", "ctx").agg(F.countDistinct("a").alias("n"))
+    identity = r"^(?:ssn 9{9}|(?:ssn )?999-99-9999|(?:nino )?AA ?99 ?99 ?99 ?A|(?:nie |dni )?A9999999A)$"
     street = F.substring("form", 2, 40).isin(*STREETS) & ~F.col("form").startswith("~")
     compound = F.col("form").isin(*{"~" + end[-3:] for end in STREET_ENDS if end in ("weg", "straße", "strasse", "allee", "gasse", "platz")} - {"~sse", "~atz"})
-    addresses = _bootstrap_forms(edges.where("cls = 'address'").drop("cls"), F.when(street | compound, "address"))
-    forms = numbers.withColumn("cls", F.lit("number")).unionByName(addresses.withColumn("cls", F.lit("address")))
-    forms = materialize(forms)
-    pairs = found.where("cls = 'name'").groupBy("form", "a", "b", "ctx").agg(F.count(F.lit(1)).alias("n"))
+    seed = (
+        F.when(F.col("cls") == "email", F.when(~F.col("form").startswith("spoken"), "email"))
+        .when(F.col("cls") == "number", F.when(F.col("form").rlike(r"^\+9"), "phone").when(F.col("form").rlike(identity), "id_number"))
+        .otherwise(F.when(street | compound, "address"))
+    )
+    forms = _bootstrap_forms(edges.withColumn("kind", seed))
+    names = found.where("cls = 'name'")
+    pairs = materialize(names.groupBy("form", "a", "b", "ctx").agg(F.count(F.lit(1)).alias("n")))
     known = _bootstrap_parts(pairs, parts)
     size = known.count()
-    given = broadcast_if_small(known.where("role = 'g'").select(F.col("part").alias("a")), size, BROADCAST_ROWS)
-    surname = broadcast_if_small(known.where("role = 's'").select(F.col("part").alias("b")), size, BROADCAST_ROWS)
-    names = found.where("cls = 'name'").join(surname, "b", "left_semi")
-    names = names.where("form = 'initial'").unionByName(names.where("form <> 'initial'").join(given, "a", "left_semi").select(names.columns))
+    given, surname = (broadcast_if_small(known.where(F.col("role") == r).select("part"), size, BROADCAST_ROWS) for r in "gs")
+    # Judged once for each distinct pair of parts; a name in straight or turned order needs a given name and a surname.
+    asked = pairs.select("form", "a", "b").distinct()
+    for part in ("a", "b"):
+        for role, table in (("g", given), ("s", surname)):
+            asked = asked.join(table.select(F.col("part").alias(part), F.lit(True).alias(f"{part}_{role}")), part, "left")
+    straight, turned = F.col("a_g") & F.col("b_s"), F.col("a_s") & F.col("b_g") & (F.col("form") != "turned")
+    true = F.when(F.col("form") == "initial", F.col("b_s")).otherwise(F.coalesce(straight, F.lit(False)) | F.coalesce(turned, F.lit(False)))
+    judged = materialize(asked.where(true).select("form", "a", "b"))
+    names = names.join(broadcast_if_small(judged, judged.count(), BROADCAST_ROWS), ["form", "a", "b"])
     out = ["k", "field", "kind", "start", "stop"]
-    accepted = found.where(F.col("cls").isin("number", "address")).join(broadcast_if_small(forms, forms.count(), BROADCAST_ROWS), ["cls", "form"])
-    spans = (
-        accepted.select(*out)
-        .unionByName(names.withColumn("kind", F.lit("name")).select(*out))
-        .unionByName(found.where("cls = 'email'").withColumn("kind", F.lit("email")).select(*out))
-    )
+    accepted = found.where(F.col("cls") != "name").join(broadcast_if_small(forms, forms.count(), BROADCAST_ROWS), ["cls", "form"])
+    spans = accepted.select(*out).unionByName(names.withColumn("kind", F.lit("name")).select(*out))
     return spans.withColumnRenamed("k", "id")
 
 

@@ -1,6 +1,6 @@
 """Problems 2, 6 and 9 on small fixtures with known cases."""
 
-from lumenframe.llm import scans
+from lumenframe.llm import personal, scans
 from lumenframe.llm.personal import personal_fields, redact_personal
 from lumenframe.llm.scans import page_furniture, readings, repair_scans, scan_noise
 from lumenframe.llm.truncation import ending_weights, line_shape, score_truncation, truncation_rates
@@ -88,6 +88,26 @@ def test_personal(spark, make_frames):
     assert personal_fields(frames, parts.limit(0)).where("kind = 'name'").count() == 0
 
 
+def test_names_of_any_order_and_spoken_addresses(spark, make_frames, monkeypatch):
+    """Forms beyond the seeds: learned parts turned, no capitals, addresses in words by context; whatever the filter of parts lets through."""
+    parts = spark.createDataFrame(NAMES, "name_part string, kind string")
+    learn = [f"Please ask {g} {s} about the plan today." for g in ("Ada", "Bo", "Cyd", "Dagny") for s in ("Stone", "Field", "Unseen")]
+    mails = [f"Reply to a{i}@mail.example before noon" for i in range(4)]
+    cases = [
+        ("See Unseen, Dagny there", {"name"}), ("See Unseen, D. there", {"name"}), ("See Unseen Dagny there", {"name"}), ("then ada stone left", {"name"}), ("then ada left", set()),
+        ("STONE ADA", {"name"}), ("Reply to bo at mail dot example before noon", {"email"}), ("Reply to al at post dot example please", {"email"}), ("Look at mail dot example again", set()), ("Paris, Texas", set()),
+    ]
+    rows = [{"id": 100 + i, "text": t} for i, t in enumerate(learn + mails)] + [{"id": i, "text": t} for i, (t, _) in enumerate(cases)]
+    frames = make_frames(rows)
+    for bits in (1 << 20, 8):
+        monkeypatch.setattr(personal, "FILTER_BITS", bits)
+        got: dict = {}
+        for r in personal_fields(frames, parts).where("id < 100").collect():
+            got.setdefault(r.id, set()).add(r.kind)
+        for i, (text, kinds) in enumerate(cases):
+            assert got.get(i, set()) == kinds, text
+
+
 def test_truncation(spark):
     rows = []
     sentence = "The amber cache was cancelled again by the finance desk. "
