@@ -157,25 +157,29 @@ def _candidates(value: str, may_be_part) -> list:
     return out
 
 
-def _bit(word: str) -> int:
+def _bit(word: str, size: int) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.lower()) % FILTER_BITS
+    return xxhash.xxh3_64_intdigest(word.lower()) % size
 
 
-def _part_bits(batches):
-    bits = bytearray(FILTER_BITS // 8)
-    for batch in batches:
-        for part in batch.column(0).to_pylist():
-            if part:
-                bits[_bit(part) >> 3] |= 1 << (_bit(part) & 7)
-    yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], names=["bits"])
+def _part_bits(size: int):
+    def run(batches):
+        bits = bytearray(size // 8)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                if part:
+                    at = _bit(part, size)
+                    bits[at >> 3] |= 1 << (at & 7)
+        yield pa.RecordBatch.from_arrays([pa.array([bytes(bits)], pa.binary())], names=["bits"])
+
+    return run
 
 
 def _part_filter(parts: DataFrame) -> bytes:
-    """The filter of known parts; as long as FILTER_BITS says, one array a partition of the table reaches the driver."""
+    """The filter of known parts; one array of FILTER_BITS bits a partition of the table reaches the driver, one after another."""
     bits = bytearray(FILTER_BITS // 8)
-    for row in parts.select("name_part").mapInArrow(_part_bits, "bits binary").toLocalIterator():
+    for row in parts.select("name_part").mapInArrow(_part_bits(FILTER_BITS), "bits binary").toLocalIterator():
         bits = bytearray(x | y for x, y in zip(bits, row.bits))
     return bytes(bits)
 
@@ -189,7 +193,8 @@ def _extract(bits):
             if known is None:
                 if len(seen) > 500_000:
                     seen.clear()
-                known = seen[word] = bool(bits.value[_bit(word) >> 3] >> (_bit(word) & 7) & 1)
+                at = _bit(word, 8 * len(bits.value))
+                known = seen[word] = bool(bits.value[at >> 3] >> (at & 7) & 1)
             return known
 
         for batch in batches:
