@@ -42,8 +42,8 @@ BUCKETS, COPIES = 1 << 14, 2_000
 #: Two bits of 56 signature bytes and one of 8 are compared: at similarity 0.8 12 of the 120 bits differ on average,
 #: with a deviation of 3.9, so one true pair in some ten thousand at the very threshold differs in more than this.
 SKETCH_BITS, SKETCH_DIFFER = 56, 27
-#: Largest filter of ids (8 MB) and largest table of region sizes that are broadcast.
-FILTER_BITS, BROADCAST_KEYS = 1 << 26, 100_000
+#: Largest filter of ids (2 MB) and largest table of region sizes that are broadcast.
+FILTER_BITS, BROADCAST_KEYS = 1 << 24, 100_000
 WORD = re.compile(r"[^\W_]+")
 
 _random = np.random.default_rng(7919)
@@ -400,7 +400,7 @@ def _among(rows: DataFrame, key: str, ids: DataFrame, count: int) -> DataFrame:
 
     A filter of bits, at most FILTER_BITS whatever the tables, is broadcast as rows of 64 bits each.
     """
-    bits = min(FILTER_BITS, 1 << max(16, (16 * count).bit_length()))
+    bits = min(FILTER_BITS, 1 << max(16, (4 * count).bit_length()))
     at = F.pmod(F.xxhash64(key), F.lit(bits).cast("long"))
     mask = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({key}), 64) as int))")
     # The place within 64 bits comes from the low bits of the hash, the row from the others: both are fixed by the key.

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ FIELDS = ("text", "window_title")
 RATIO, RATIO_DIGIT = 12, 3
 BROADCAST_WORDS = 300_000
 SIMILAR = 0.84
+#: Longer runs of letters and digits are encoded data, no words; lines of other lengths are headers only where they repeat exactly.
+LONGEST_WORD, FUZZY_LINE = 256, (8, 200)
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Addresses are identifiers: their parts are no words.
@@ -79,7 +82,7 @@ def page_furniture(lines: list) -> tuple[dict, set]:
     found: dict = {}
     for i, line in enumerate(lines if MAY_NUMBER.search("\n".join(lines)) else ()):
         bare = line.strip()
-        if not bare or len(bare) > 120:
+        if not bare:
             continue
         for k, pattern in enumerate(NUMBERS):
             m = pattern.match(bare)
@@ -103,7 +106,8 @@ def page_furniture(lines: list) -> tuple[dict, set]:
                         beside[i] = _plain(header)
             run = [item]
     content = [i for i, line in enumerate(lines) if line.strip() and i not in numbers]
-    plain = {i: _plain(lines[i]) for i in content if 2 < len(lines[i]) <= 110}
+    plain = {i: _plain(lines[i]) for i in content if len(lines[i]) > 2}
+    plain = {i: p for i, p in plain.items() if len(p) > 2 and not any(pattern.match(lines[i].strip()) for pattern in NUMBERS[:7])}
     edges = set(content[:1])
     for i in numbers:
         if i in beside:
@@ -126,16 +130,22 @@ def page_furniture(lines: list) -> tuple[dict, set]:
 
 
 def _similar(a: str, b: str) -> bool:
+    """Whether two lines are the same up to misreadings: at least SIMILAR by matching blocks of characters."""
     if a == b:
         return True
-    if abs(len(a) - len(b)) > 4:
+    if abs(len(a) - len(b)) > 4 or not FUZZY_LINE[0] <= min(len(a), len(b)) <= max(len(a), len(b)) <= FUZZY_LINE[1]:
         return False
-    u, v = set(a.split()), set(b.split())  # misreadings leave most words of a header alone
-    return 2 * len(u & v) >= min(len(u), len(v)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= SIMILAR
+    common = sum((_letters(a) & _letters(b)).values())  # matching blocks hold no more characters than both lines share
+    return 2 * common >= SIMILAR * (len(a) + len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() >= SIMILAR
+
+
+@lru_cache(maxsize=10_000)
+def _letters(line: str) -> Counter:
+    return Counter(line)
 
 
 def _layout(value: str) -> tuple[list, list, set, list]:
-    """(kept lines, their divisions, kinds, all lines kept with page breaks as None) of one text."""
+    """(kept lines, their divisions, kinds, all lines) of one text."""
     lines = value.split("\n")
     numbers, headers = page_furniture(lines) if len(lines) > 2 else ({}, set())
     kinds = set()
@@ -190,6 +200,11 @@ def _words(kept: list, divisions: list):
         yield from tokens
 
 
+def _furniture_words(kept: list, lines: list) -> list:
+    """Tokens of the lines that were taken out, each different line once."""
+    return _tokens_of("\n".join(set(lines).difference(kept)))
+
+
 def _survey(batches):
     """Layout findings (id, field, kind, left, right) and word counts (word, n) of each batch."""
     for batch in batches:
@@ -203,11 +218,13 @@ def _survey(batches):
                 if "\n" not in value:
                     counts.update(_tokens_of(value))
                     continue
-                kept, divisions, kinds, _ = _layout(value)
+                kept, divisions, kinds, lines = _layout(value)
                 counts.update(_words(kept, divisions))
+                if kinds:
+                    counts.update(_furniture_words(kept, lines))
                 rows += [(key, field, kind, None, None, None) for kind in kinds]
                 rows += [(key, field, "hyphenation", left, right, None) for _, _, left, right in divisions]
-        rows += [(None, None, None, word, None, n) for word, n in counts.items() if not word.isdigit() and len(word) < 60]
+        rows += [(None, None, None, word, None, n) for word, n in counts.items() if not word.isdigit() and len(word) <= LONGEST_WORD]
         arrays = list(zip(*rows)) or [[]] * 6
         types = [pa.int64(), *[pa.string()] * 4, pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, types)], names=["k", "field", "kind", "a", "b", "n"])
@@ -219,6 +236,8 @@ _SURVEY = "k long, field string, kind string, a string, b string, n long"
 def readings(word: str) -> dict:
     """What may have been written where ``word`` was read, in lower case, with the frequency ratio asked of it."""
     out: dict = {}
+    if len(word) > LONGEST_WORD:
+        return out
     low = word.lower()
     digits = [c for c in low if c.isdigit()]
     letters = len(low) - len(digits)
@@ -320,9 +339,11 @@ def _tokens(value) -> set:
         return set(_tokens_of(value))
     if not MAY_DIVIDE.search(value):
         return set(_tokens_of(value))
-    kept, divisions, _, _ = _layout(value)
+    kept, divisions, kinds, lines = _layout(value)
     words = set(_words(kept, divisions))
     words.update(left + right for _, _, left, right in divisions)
+    if kinds:  # words of headers are looked up like all others
+        words.update(_furniture_words(kept, lines))
     return words
 
 

@@ -36,6 +36,26 @@ def test_furniture():
     assert page_furniture(["ix", *body, "x", *body])[0].keys() == {0, 3}
 
 
+def test_furniture_of_any_width():
+    body = ["some words of the page go here", "and some more of them"]
+    assert page_furniture(["Handover", "", *body, "[4]", "Handovcr", *body, "[5]"])[1] == {0, 5}  # no word in common
+    wide = " " * 200 + "Guide to the Patch"
+    assert page_furniture([wide, *body, "[4]", wide + " ", *body, "[5]"])[1] == {0, 4}
+    name = "Guide to the northern patch of the lenient ledger " * 4
+    numbers, headers = page_furniture([f"{name}| 7", *body, f"{name}| 8", *body])
+    assert sorted(numbers) == [0, 3] and headers == {0, 3}
+    assert page_furniture(["vii", "first words here", "12", "viii", "another part of it", "x"])[1] == set()
+
+
+def test_misread_words_of_headers_are_found(make_frames):
+    """Whether or not a word of the text is divided, and also beside a very long run of letters."""
+    rows = [{"id": i, "text": PLAIN} for i in range(60)]
+    page = "Forecast of the arnber\n[{}]\nThe certificate went to the {}\nbefore the people.\n" + "z" * 300 + "\n"
+    rows += [{"id": 100, "text": page.format(4, "tram-\nway") + page.format(5, "tramway")}, {"id": 101, "text": page.format(4, "tramway") + page.format(5, "tramway")}]
+    got = {r.id for r in scan_noise(make_frames(rows)).where("kind = 'misread'").collect()}
+    assert got == {100, 101}
+
+
 def test_readings():
     assert "trarnway" in readings("trarnway") or "tramway" in readings("trarnway")
     assert "open" in readings("0pen") and "preview" in readings("previeH") and "bracket" in readings("bbracket")
