@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.runtime import shuffle_partitions
 
 CHUNK_SECONDS = 6 * 3600
+MOST_SYMBOLS = 1_000_000
 
 #: What programs add to a title in passing, before and after the document's own title.
 PREFIX = r"^(?:(?:\(\d+\+?\)|\[\d+\]|[●•∙*])\s*)+"
@@ -46,10 +47,9 @@ def _code_points(codes: np.ndarray) -> str:
 
 
 def _match_runs(batches, singles: bool):
-    for batch in batches:
+    # A batch is cut where it would need more symbols than there are code points; runs at the cut are joined like borders.
+    for batch in (b.slice(start, MOST_SYMBOLS) for b in batches for start in range(0, b.num_rows, MOST_SYMBOLS)):
         n = batch.num_rows
-        if n == 0:
-            continue
         t = pa.Table.from_batches([batch])
         code = np.zeros(n, dtype=np.int64)
         for name in ("u", "c", "app", "title"):
