@@ -56,8 +56,8 @@ QUERIES = {
     "focus_lines": partial(_at_now, A.focus_lines, minutes=1440),
     "dedup_removed": lambda spark, d: D.duplicate_ids(_frames(spark, d)),
     "dedup_kept": lambda spark, d: D.deduplicate(_frames(spark, d)).select("id"),
-    "phash_hamming": lambda spark, d: D.hash_steps(_frames(spark, d)).select("id", "previous_id", "bits"),
-    "phash_changed": lambda spark, d: D.hash_steps(_frames(spark, d)).select("id", "changed"),
+    "phash_hamming": lambda spark, d: D.hash_steps(_frames(spark, d)),
+    "phash_changed": lambda spark, d: D.changed_frames(_frames(spark, d)),
 }
 
 _N = '(SELECT max("timestamp") + 1 FROM frames)'
@@ -103,6 +103,18 @@ h AS (SELECT id, previous_id, CASE WHEN {_HEX.format("phash")} AND {_HEX.format(
       THEN bit_count(xor(('0x' || phash)::UBIGINT::BIT, ('0x' || p)::UBIGINT::BIT))::INT END AS bits FROM r)
 """
 
+#: Each row of {rows} (user_id, id, t, phash) against the last changed one's hash, step by step.
+CHANGES = """
+WITH RECURSIVE o AS (SELECT user_id, id, phash, row_number() OVER (PARTITION BY user_id ORDER BY t, id) AS n FROM ({rows})),
+f AS (SELECT user_id, n, id, true AS changed, nullif(phash, '') AS known FROM o WHERE n = 1
+      UNION ALL
+      SELECT user_id, n, id, d, CASE WHEN d AND coalesce(phash, '') <> '' THEN phash ELSE known END
+      FROM (SELECT o.user_id, o.n, o.id, o.phash, f.known,
+                   CASE WHEN regexp_full_match(coalesce(o.phash, ''), '[0-9a-fA-F]{16}') AND regexp_full_match(coalesce(f.known, ''), '[0-9a-fA-F]{16}')
+                        THEN bit_count(xor(('0x' || o.phash)::UBIGINT::BIT, ('0x' || f.known)::UBIGINT::BIT)) >= 6 ELSE true END AS d
+            FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n + 1))
+"""
+
 SQL = {
     "recent": f'SELECT {_E} FROM frames WHERE "timestamp" > {_N} - 43200 ORDER BY "timestamp" DESC, id DESC LIMIT 50',
     "latest": f'SELECT {_E} FROM frames ORDER BY "timestamp" DESC, id DESC LIMIT 1',
@@ -138,5 +150,5 @@ SQL = {
     "dedup_removed": _DEDUP + "SELECT id FROM f WHERE dropped",
     "dedup_kept": _DEDUP + "SELECT id FROM frames WHERE id NOT IN (SELECT id FROM f WHERE dropped)",
     "phash_hamming": _STEPS + "SELECT id, previous_id, bits FROM h",
-    "phash_changed": _STEPS + "SELECT id, coalesce(bits >= 6, true) AS changed FROM h",
+    "phash_changed": CHANGES.replace("{rows}", 'SELECT user_id, id, "timestamp" AS t, phash FROM frames') + "SELECT id, changed FROM f",
 }

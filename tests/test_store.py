@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe import api
-from lumenframe.cache import ResultCache, cached
+from lumenframe.cache import Answers
 from lumenframe.functions import crypto
 from lumenframe.functions.timeparse import parse_natural_time
 from lumenframe.operators.dedup import duplicate_ids, has_changed
@@ -37,22 +37,27 @@ def test_strict_last_week():
     assert parse_natural_time("last week", NOW, strict=True) == (NOW - 3600, NOW)
 
 
-def test_cache():
-    clock = [0.0]
-    cache = ResultCache(lambda: clock[0])
-    calls = []
+def test_answers():
+    now, version, calls = [0.0], ["v1"], []
+    answers = Answers(lambda: version[0], lambda: now[0], capacity=2)
 
-    @cached("f", 10, cache)
-    def f(x):
+    def double(x):
         calls.append(x)
         return None if x == 0 else x * 2
 
-    assert (f(1), f(1), f(0), f(0)) == (2, 2, None, None) and calls == [1, 0, 0]
-    clock[0] = 10.0
-    assert f(1) == 2 and calls == [1, 0, 0, 1]
-    assert cache.stats() == {"hits": 1, "misses": 4, "hit_rate": 0.2, "entries": 1}
-    cache.invalidate()
-    assert cache.stats()["entries"] == 0
+    ask = lambda x: answers.ask("double", double, 10, x=x)
+    assert (ask(1), ask(1), ask(0), ask(0)) == (2, 2, None, None) and calls == [1, 0, 0]
+    now[0] = 10.0
+    assert ask(1) == 2 and calls == [1, 0, 0, 1]
+    version[0] = "v2"
+    assert ask(1) == 2 and len(calls) == 5
+    assert answers.usage() == {"asked": 6, "found": 1, "hit_rate": 0.17, "kept": 1}
+    ask(2), ask(3)
+    assert answers.usage()["kept"] == 2
+    answers.forget("other")
+    assert answers.usage()["kept"] == 2
+    answers.forget()
+    assert answers.usage()["kept"] == 0
 
 
 def test_encryption(spark):
