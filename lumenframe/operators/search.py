@@ -1,32 +1,36 @@
 """Ranked full-text search over four columns with a query language of terms, phrases and boolean operators.
 
-A query is parsed to a tree whose leaves are phrases. Frames are tokenised in the JVM and every leaf becomes one
-number for each frame, its hits, computed by one pattern over the tokens without shuffling a posting. One aggregate gives the
-collection's size and the leaves' document frequencies, after which each frame is scored on its own and only the
-top of the ranking moves. With stemming, the few words of the vocabulary that share a stem with the query are looked
-up once, and leaves match any of them.
+A query is parsed to a tree whose leaves are phrases. There are two ways to evaluate it, with the same result:
+
+* Over frames. Their columns become strings of terms (in the JVM; stems are added by one pass with a table of the
+  words met), and each leaf becomes a number for each frame, its hits, by one pattern over the terms.
+* Over an index (:class:`SearchIndex`): postings of each stem with its positions, sorted by term so that only the query's
+  terms are read, and the size of each frame. It grows by a segment with every batch that is added.
+
+One aggregate gives the collection's size and the leaves' document frequencies, after which each frame is scored on its
+own and only the top of the ranking moves.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.porter import stem
-from lumenframe.functions.terms import ACCENTED, PLAIN, search_tokens
+from lumenframe.functions.terms import ACCENTED, PLAIN
 from lumenframe.operators.frames import ENTRY, entries
 
 COLUMNS = ["text", "extra_context", "app_name", "window_title"]
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 OVERFETCH, SNIPPET_TOKENS = 3, 40
-#: Vocabulary words of one stem that are looked up; a stem has a handful.
-MAX_FORMS = 10_000
 
 
 class QuerySyntaxError(ValueError):
@@ -217,28 +221,40 @@ def _phrases(tree) -> list[Phrase]:
     return [p for leaf in _leaves(tree) for p in (leaf.parts if isinstance(leaf, Near) else (leaf,))]
 
 
-def _stems(batches):
+def _stemmed(batches):
+    """Strings of terms to strings of stems; columns that aren't strings pass."""
+    known: dict = {}
+
+    def stem_of(word):
+        found = known.get(word)
+        if found is None:
+            if len(known) > 500_000:
+                known.clear()
+            found = known[word] = stem(word)
+        return found
+
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stem(w) for w in words], pa.string())], names=["word", "stem"])
+        columns = [
+            pa.array([" ".join(map(stem_of, v.split(" "))) for v in column.to_pylist()], pa.string()) if pa.types.is_string(column.type) else column
+            for column in batch.columns
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
 
-def vocabulary(frames: DataFrame) -> DataFrame:
-    """``word, stem`` of all distinct tokens; stems are computed once for each word."""
-    every = F.concat(*[search_tokens(F.col(c)) for c in COLUMNS])
-    words = frames.select(F.explode(F.array_distinct(every)).alias("word")).distinct()
-    return words.mapInArrow(_stems, "word string, stem string")
+def term_strings(frames: DataFrame, stemmed: bool = True) -> DataFrame:
+    """``id, timestamp`` and a string of terms for each column: t_text and so on, with one blank at each end and between."""
+    rows = frames.select(F.col("id").cast("long"), F.col("timestamp").cast("double"), *[_spaced(c).alias(f"t_{c}") for c in COLUMNS])
+    types = "id long, timestamp double, " + ", ".join(f"t_{c} string" for c in COLUMNS)
+    return rows.mapInArrow(_stemmed, types) if stemmed else rows
 
 
-def word_forms(frames: DataFrame, tree) -> dict[tuple[str, bool], list[str]]:
-    """Words of the vocabulary that each query word stands for when stemmed; a prefix stands for stems that begin so."""
-    asked = {(w, p.prefix and i == len(p.words) - 1) for p in _phrases(tree) for i, w in enumerate(p.words)}
-    found = vocabulary(frames)
-    hits = reduce(lambda a, b: a | b, [F.col("stem").startswith(stem(w)) if pre else F.col("stem") == stem(w) for w, pre in asked])
-    rows = found.where(hits).limit(MAX_FORMS + 1).collect()
-    if len(rows) > MAX_FORMS:
-        raise QuerySyntaxError("prefix too short: it stands for too many words")
-    return {(w, pre): [r.word for r in rows if (r.stem.startswith(stem(w)) if pre else r.stem == stem(w))] for w, pre in asked}
+def _stem_query(tree):
+    """The tree with stems for words, for terms that are stems."""
+    if isinstance(tree, Op):
+        return Op(tree.name, _stem_query(tree.left), _stem_query(tree.right))
+    if isinstance(tree, Near):
+        return Near(tuple(map(_stem_query, tree.parts)), tree.distance, tree.columns)
+    return Phrase(tuple(map(stem, tree.words)), tree.prefix, tree.first, tree.columns)
 
 
 def _spaced(column: str) -> Column:
@@ -247,34 +263,68 @@ def _spaced(column: str) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), folded, F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
 
 
-def _word_pattern(word: str, prefix: bool, forms) -> str:
-    if forms is not None:
-        words = forms[(word, prefix)]
-        return "(?:" + "|".join(map(re.escape, words)) + ") " if words else "(?!)"
-    return re.escape(word) + (r"\S* " if prefix else " ")
-
-
-def _phrase_pattern(phrase: Phrase, forms) -> str:
+def _phrase_pattern(phrase: Phrase) -> str:
     """Pattern of the phrase's words, each with the blank behind it."""
     last = len(phrase.words) - 1
-    return "".join(_word_pattern(w, phrase.prefix and i == last, forms) for i, w in enumerate(phrase.words)) or "(?!)"
-
-
-def _leaf_hits(leaf, forms) -> Column:
-    """Hits of a leaf in one frame: matches of a look-ahead, so that overlapping phrases all count."""
-    if isinstance(leaf, Near):
-        first, *rest = [_phrase_pattern(p, forms) for p in leaf.parts]
-        gap = rf"(?:\S+ ){{0,{leaf.distance}}}"
-        tests = [F.lit(first)] if not rest else []
-        found = F.lit(False)
-        for c in leaf.columns:
-            each = [F.col(f"t_{c}").rlike(f" (?:{first}{gap}{other}|{other}{gap}{first})") for other in rest]
-            each = each or [F.col(f"t_{c}").rlike(" " + first) for _ in tests]
-            found = found | reduce(lambda a, b: a & b, each)
-        return F.when(found, F.lit(1)).otherwise(F.lit(0))
-    start = "^ " if leaf.first else " "
-    pattern = F.lit(f"(?={start}{_phrase_pattern(leaf, forms)})")
-    return sum((F.regexp_count(F.col(f"t_{c}"), pattern) for c in leaf.columns), F.lit(0))
+    return "".join(re.escape(w) + (r"\S* " if phrase.prefix and i == last else " ") for i, w in enumerate(phrase.words)) or "(?!)"
+
+
+def _phrase_hits(phrase: Phrase) -> Column:
+    """Hits of a phrase in one frame: matches of a look-ahead, so that overlapping ones all count."""
+    pattern = F.lit(f"(?={'^ ' if phrase.first else ' '}{_phrase_pattern(phrase)})")
+    return sum((F.regexp_count(F.col(f"t_{c}"), pattern) for c in phrase.columns), F.lit(0))
+
+
+def _starts(phrase: Phrase, column: str) -> Column:
+    """Positions in a column's terms at which the phrase begins."""
+    terms = F.split(F.trim(F.col(f"t_{column}")), " ")
+
+    def here(i):
+        tests = [
+            F.get(terms, i + j).startswith(w) if phrase.prefix and j == len(phrase.words) - 1 else F.get(terms, i + j) == w
+            for j, w in enumerate(phrase.words)
+        ]
+        return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(bool(tests))), F.lit(False)) & (i == 0 if phrase.first else F.lit(True))
+
+    return F.filter(F.sequence(F.lit(0), F.size(terms) - 1), here)
+
+
+def near_hits(starts: list[Column], lengths: list[int], distance: int) -> list[Column]:
+    """For each phrase the number of its starts that stand in a clump of all phrases.
+
+    A clump has one start of each phrase, and at most ``distance`` terms between the end of any of them and the last
+    start; a phrase may overlap another.
+    """
+    every = F.flatten(F.array(*starts))
+
+    def reaches(start, length, last):
+        return (start <= last) & (last - start - length <= distance)
+
+    def has_one(j, last):
+        return F.exists(starts[j], lambda start: reaches(start, lengths[j], last))
+
+    def stands(k):
+        def in_clump(start):
+            def ends(last):
+                others = [has_one(j, last) for j in range(len(starts)) if j != k]
+                return reduce(lambda a, b: a & b, others, reaches(start, lengths[k], last))
+
+            return F.exists(every, ends)
+
+        return F.size(F.filter(starts[k], in_clump))
+
+    return [stands(k) for k in range(len(starts))]
+
+
+def _near_columns(leaf: Near) -> list[Column]:
+    """Hits of each phrase of a NEAR group in one frame; positions are looked at only where all phrases occur."""
+    totals = [F.lit(0)] * len(leaf.parts)
+    for c in leaf.columns:
+        starts = [_starts(p, c) if c in p.columns else F.array().cast("array<int>") for p in leaf.parts]
+        found = near_hits(starts, [len(p.words) for p in leaf.parts], leaf.distance)
+        likely = reduce(lambda a, b: a & b, [F.col(f"t_{c}").rlike(" " + _phrase_pattern(p)) for p in leaf.parts])
+        totals = [t + F.when(likely, f).otherwise(0) for t, f in zip(totals, found)]
+    return totals
 
 
 def _holds(tree, at: dict) -> Column:
@@ -284,27 +334,12 @@ def _holds(tree, at: dict) -> Column:
     return at[tree] > 0
 
 
-def matching(frames: DataFrame, query: str, stemmed: bool = True, plain: bool = False) -> DataFrame:
-    """``id, timestamp, rank`` of frames that match, rank being the (negative) bm25 score: smaller is better.
-
-    Rows of one id are frames of their own. Null columns have no tokens. Leaves of NOT don't score.
-    """
-    tree = parse_query(query, plain)
-    forms = word_forms(frames, tree) if stemmed else None
-    tokens = frames.select("id", "timestamp", *[_spaced(c).alias(f"t_{c}") for c in COLUMNS])
-    size = sum((F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "))) - 1 for c in COLUMNS), F.lit(0))
-    leaves = list(dict.fromkeys(_leaves(tree)))
-    phrases = list(dict.fromkeys(_phrases(tree)))
-    hit = {leaf: F.col(f"h{i}") for i, leaf in enumerate(leaves)}
-    counts = [_leaf_hits(leaf, forms).alias(f"h{i}") for i, leaf in enumerate(leaves)]
-    scores = [_leaf_hits(p, forms).alias(f"f{i}") for i, p in enumerate(phrases)]
-    rows = tokens.select("id", "timestamp", size.alias("size"), *counts, *scores)
-    stats = rows.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.avg("size").alias("mean_size"),
-        *[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrases))],
-    )
-    scored = rows.where(_holds(tree, hit)).join(F.broadcast(stats))  # one row
+def _scored(rows: DataFrame, tree, whole: DataFrame) -> DataFrame:
+    """``id, timestamp, rank`` of rows (id, timestamp, size, hits h0 .. of leaves, f0 .. that score, g0 .. that are counted)."""
+    leaves, phrases = list(dict.fromkeys(_leaves(tree))), _phrases(tree)
+    counts = rows.agg(*[F.count_if(F.col(f"g{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    stats = counts.join(whole)  # one row each
+    scored = rows.where(_holds(tree, {leaf: F.col(f"h{i}") for i, leaf in enumerate(leaves)})).join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(phrases)):
         n, f = F.col(f"n{i}"), F.col(f"f{i}")
@@ -313,6 +348,94 @@ def matching(frames: DataFrame, query: str, stemmed: bool = True, plain: bool =
     return scored.select("id", "timestamp", (-score).alias("rank"))
 
 
+def matching(frames: DataFrame, query: str, stemmed: bool = True, plain: bool = False) -> DataFrame:
+    """``id, timestamp, rank`` of frames that match, rank being the (negative) bm25 score: smaller is better.
+
+    Rows of one id are frames of their own. Null columns have no terms. A prefix may stand for any number of words.
+    """
+    tree = parse_query(query, plain)
+    tree = _stem_query(tree) if stemmed else tree
+    terms = term_strings(frames, stemmed)
+    size = sum((F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "))) - 1 for c in COLUMNS), F.lit(0))
+    hits, scores, counted = [], [], []
+    for leaf in dict.fromkeys(_leaves(tree)):
+        hits.append(reduce(F.least, _near_columns(leaf)) if isinstance(leaf, Near) and len(leaf.parts) > 1 else _phrase_hits(_only(leaf)))
+    for leaf in _leaves(tree):
+        near = isinstance(leaf, Near) and len(leaf.parts) > 1
+        counted += [_phrase_hits(p) for p in (leaf.parts if near else [_only(leaf)])]
+        scores += _near_columns(leaf) if near else [_phrase_hits(_only(leaf))]
+    columns = [c.alias(f"{name}{i}") for name, every in (("h", hits), ("f", scores), ("g", counted)) for i, c in enumerate(every)]
+    rows = terms.select("id", "timestamp", size.alias("size"), *columns)
+    return _scored(rows, tree, rows.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean_size")))
+
+
+def _only(leaf) -> Phrase:
+    """The phrase of a leaf that is one, also of a NEAR group of one."""
+    return _within(leaf.parts[0], leaf.columns) if isinstance(leaf, Near) else leaf
+
+
+class SearchIndex:
+    """Postings of stems at ``path`` (any Hadoop file system), kept in step with a history by :meth:`add`.
+
+    ``postings``: ``term, id, column, positions`` sorted by term; a frequent term is spread over files by its ids.
+    ``sizes``: ``id, timestamp, size`` of each frame. Ids must be unique, as a store's are.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, frames: DataFrame) -> None:
+        """Indexes more frames as a segment of its own; nothing that is there is written again."""
+        segment = uuid.uuid4().hex
+        terms = term_strings(frames)
+        size = sum((F.size(F.split(F.trim(f"t_{c}"), " ")) - (F.trim(f"t_{c}") == "").cast("int") for c in COLUMNS), F.lit(0))
+        terms.select("id", "timestamp", size.alias("size")).write.parquet(f"{self.path}/sizes/segment={segment}")
+        texts = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("column"), F.col(f"t_{c}").alias("t")) for i, c in enumerate(COLUMNS)]))
+        single = terms.select("id", texts.alias("x")).where(F.trim("x.t") != "")
+        single = single.select("id", "x.column", F.posexplode(F.split(F.trim("x.t"), " ")).alias("position", "term"))
+        postings = single.groupBy("id", "column", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/postings/segment={segment}")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("term string, id long, column tinyint, positions array<int>").parquet(f"{self.path}/postings/*")
+
+    def sizes(self) -> DataFrame:
+        return self.spark.read.schema("id long, timestamp double, size int").parquet(f"{self.path}/sizes/*")
+
+    def matching(self, query: str, plain: bool = False) -> DataFrame:
+        """As :func:`matching`, reading the postings of the query's terms alone."""
+        tree = _stem_query(parse_query(query, plain))
+        leaves, phrases = list(dict.fromkeys(_leaves(tree))), _phrases(tree)
+        asked = list(dict.fromkeys((w, p.prefix and j == len(p.words) - 1) for p in phrases for j, w in enumerate(p.words)))
+        tests = [F.col("term").startswith(w) if prefix else F.col("term") == w for w, prefix in asked] or [F.lit(False)]
+        found = self.postings().where(reduce(lambda a, b: a | b, tests))
+        places = [F.array_sort(F.flatten(F.collect_list(F.when(t, F.col("positions"))))).alias(f"p{i}") for i, t in enumerate(tests)]
+        cells = found.groupBy("id", "column").agg(*places)
+
+        def starts(phrase: Phrase) -> Column:
+            words = [F.col(f"p{asked.index((w, phrase.prefix and j == len(phrase.words) - 1))}") for j, w in enumerate(phrase.words)]
+            if not words:
+                return F.array().cast("array<int>")
+            at = F.filter(words[0], lambda x: reduce(lambda a, b: a & b, [F.array_contains(w, x + j) for j, w in enumerate(words)]))
+            at = F.filter(at, lambda x: x == 0) if phrase.first else at
+            return F.when(F.col("column").isin([COLUMNS.index(c) for c in phrase.columns]), at).otherwise(F.array().cast("array<int>"))
+
+        def near(leaf: Near) -> list[Column]:
+            return near_hits([starts(_within(p, leaf.columns)) for p in leaf.parts], [len(p.words) for p in leaf.parts], leaf.distance)
+
+        hits = [reduce(F.least, near(x)) if isinstance(x, Near) and len(x.parts) > 1 else F.size(starts(_only(x))) for x in leaves]
+        scores, counted = [], []
+        for leaf in _leaves(tree):
+            group = isinstance(leaf, Near) and len(leaf.parts) > 1
+            counted += [F.size(starts(p)) for p in (leaf.parts if group else [_only(leaf)])]
+            scores += near(leaf) if group else [F.size(starts(_only(leaf)))]
+        names = [(f"{name}{i}", c) for name, every in (("h", hits), ("f", scores), ("g", counted)) for i, c in enumerate(every)]
+        rows = cells.select("id", *[c.alias(n) for n, c in names]).groupBy("id").agg(*[F.sum(n).alias(n) for n, _ in names])
+        sizes = self.sizes()
+        whole = sizes.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean_size"))
+        return _scored(rows.join(sizes, "id"), tree, whole)
+
+
 def _snippet(value: str | None, tests: list) -> str:
     """At most SNIPPET_TOKENS tokens of the text around its hits, which are marked; the head if there are none."""
     if not value:
@@ -337,26 +460,28 @@ def with_snippets(found: DataFrame, query: str, stemmed: bool = True, plain: boo
     """Replaces ``text`` by its snippet; meant for the few rows of a result."""
     words = [(w, p.prefix and i == len(p.words) - 1) for p in _phrases(parse_query(query, plain)) for i, w in enumerate(p.words)]
 
-    @F.udf(T.StringType())
-    def snippet(value):
-        norm = stem if stemmed else (lambda w: w)
-        tests = [(lambda t, w=w, pre=pre: norm(t).startswith(norm(w)) if pre else norm(t) == norm(w)) for w, pre in words]
-        return _snippet(value, tests)
+    norm = stem if stemmed else (lambda w: w)
+    tests = [(lambda t, w=w, pre=pre: norm(t).startswith(norm(w)) if pre else norm(t) == norm(w)) for w, pre in words]
+
+    @F.pandas_udf(T.StringType())
+    def snippet(values: pd.Series) -> pd.Series:
+        return values.map(lambda value: _snippet(value, tests))
 
     # Not deterministic as far as Catalyst knows: filters on snippets must not be pushed below the join to all frames.
     return found.withColumn("text", snippet.asNondeterministic()("text"))
 
 
-def search(frames: DataFrame, query: str, limit: int = 20, stemmed: bool = True, plain: bool = False) -> DataFrame:
-    """Result rows with ``rank``, best first, ties by id; ``text`` is a snippet."""
-    top = matching(frames, query, stemmed, plain).orderBy("rank", "id").limit(limit)
+def search(frames: DataFrame, query: str, limit: int = 20, stemmed: bool = True, plain: bool = False, index: SearchIndex | None = None) -> DataFrame:
+    """Result rows with ``rank``, best first, ties by id; ``text`` is a snippet. With an ``index`` no frame is searched."""
+    found = index.matching(query, plain) if index is not None else matching(frames, query, stemmed, plain)
+    top = found.orderBy("rank", "id").limit(limit)
     joined = entries(frames).join(F.broadcast(top.select("id", "rank")), "id")  # at most ``limit`` rows
     return with_snippets(joined, query, stemmed, plain).orderBy("rank", "id")
 
 
-def smart_search(frames: DataFrame, query: str, limit: int = 20, project: str | None = None, exclude_heartbeats: bool = True, stemmed: bool = True) -> DataFrame:
+def smart_search(frames: DataFrame, query: str, limit: int = 20, project: str | None = None, exclude_heartbeats: bool = True, stemmed: bool = True, index: SearchIndex | None = None) -> DataFrame:
     """Re-ranked search: 3 for the query in the title, 2 in the application, 1 in the snippet's first 200 characters."""
-    found = search(frames, query, limit * OVERFETCH, stemmed)
+    found = search(frames, query, limit * OVERFETCH, stemmed, index=index)
     if exclude_heartbeats:
         found = found.where(~F.col("text").contains("[heartbeat"))
     if project:

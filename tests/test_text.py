@@ -63,7 +63,7 @@ WORDS = "run running runner studies studied budget budgets café naïve snake_ca
 
 
 @pytest.fixture(scope="module")
-def corpus(spark, make_frames):
+def corpus(spark, make_frames, tmp_path_factory):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(WORDS) + rng.choice(["", "", ",", ".", " -"]) for _ in range(rng.randrange(n)))
     rows = [
@@ -73,23 +73,48 @@ def corpus(spark, make_frames):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE f USING fts5(text, extra_context, app_name, window_title, tokenize='porter unicode61')")
     con.executemany("INSERT INTO f(rowid, text, extra_context, app_name, window_title) VALUES (?,?,?,?,?)", [(r["id"], r["text"], r["extra_context"], r["app_name"], r["window_title"]) for r in rows])
-    return make_frames(rows).cache(), con
+    frames = make_frames(rows).cache()
+    index = S.SearchIndex(spark, str(tmp_path_factory.mktemp("index")))
+    index.add(frames.where("id % 3 = 0"))
+    index.add(frames.where("id % 3 > 0"))
+    return frames, con, index
 
 
 QUERIES = [
     "running", "budget error", "budget AND error", "studies OR cafe", "review NOT log", '"snake case"', "stud*", "app_name : error",
-    "{text window_title} : budget", "- text : budget", "NEAR(budget log, 2)", "^ run", "meeting + review", "(run OR log) AND NOT_a_word", "error or log", "naive",
+    "{text window_title} : budget", "- text : budget", "NEAR(budget log, 2)", "NEAR(budget log run, 3)", 'NEAR(meeting "snake case" err*, 4) OR naive', "text : NEAR(log run budget review, 6)", "NEAR(budget)", "budget OR budget", "^ run", "meeting + review", "(run OR log) AND NOT_a_word", "error or log", "naive",
 ]
 
 
 @pytest.mark.parametrize("query", QUERIES)
 def test_search_like_sqlite(corpus, query):
-    frames, con = corpus
+    frames, con, index = corpus
     want = {i: r for i, r in con.execute("SELECT rowid, rank FROM f WHERE f MATCH ?", (query,))}
     got = {r.id: r.rank for r in S.matching(frames, query).collect()}
     assert got.keys() == want.keys()
-    if "NEAR" not in query:
-        assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    indexed = {r.id: r.rank for r in index.matching(query).collect()}
+    assert indexed.keys() == want.keys() and all(abs(indexed[i] - want[i]) < 1e-9 for i in want)
+
+
+def test_near_is_one_clump(spark, make_frames, tmp_path):
+    texts = ["beta x y alpha x y gamma", "alpha beta gamma", "gamma y alpha x beta", "alpha x x x beta gamma alpha", "alpha gamma"]
+    frames = make_frames([{"id": i, "timestamp": 0.0, "text": t} for i, t in enumerate(texts)])
+    index = S.SearchIndex(spark, str(tmp_path))
+    index.add(frames)
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(text, tokenize='porter unicode61')")
+    con.executemany("INSERT INTO f(rowid, text) VALUES (?,?)", enumerate(texts))
+    for n in range(7):
+        query = f"NEAR(alpha beta gamma, {n})"
+        want = {i for (i,) in con.execute("SELECT rowid FROM f WHERE f MATCH ?", (query,))}
+        assert {r.id for r in S.matching(frames, query).collect()} == {r.id for r in index.matching(query).collect()} == want, query
+
+
+@pytest.mark.parametrize("letter", ["s", "b"])
+def test_a_prefix_may_stand_for_any_number_of_words(make_frames, letter):
+    frames = make_frames([{"id": i, "timestamp": 0.0, "text": " ".join(f"{letter}{i}q{k}" for k in range(60))} for i in range(200)])
+    assert S.matching(frames, "s*").count() == (200 if letter == "s" else 0)
 
 
 @pytest.mark.parametrize("query", ["", "foo.py", "C++", "it's", "a-b", "NOT x", '"open', "nosuch : x"])
