@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         from lumenframe.streaming.pipeline import KEPT, ingest
 
         stream = spark.readStream.schema(KEPT).json(args.folder)
-        ingest(stream, store, lambda: load_config(args.config), args.checkpoint, available_now=False).awaitTermination()
+        ingest(stream, store, lambda: load_config(args.config), args.checkpoint, available_now=False, changes_only=True).awaitTermination()
     elif args.command == "serve":
         serve(service, args.port).serve_forever()
     else:

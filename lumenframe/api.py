@@ -33,10 +33,10 @@ class Service:
     def search(self, query: str, limit: int = 20) -> list[dict]:
         if self.store.key:
             return self._rows(search.substring_search(self._frames(), query, self.clock(), limit).drop("stage"))
-        return self._rows(search.search(self._frames(), query, limit).drop("rank"))
+        return self._rows(search.search(self._frames(), query, limit, index=self.store.search_index()).drop("rank"))
 
     def smart_search(self, query: str, limit: int = 20, project: str | None = None) -> list[dict]:
-        return self._rows(search.smart_search(self._frames(), query, limit, project))
+        return self._rows(search.smart_search(self._frames(), query, limit, project, index=self.store.search_index()))
 
     def recent(self, minutes: float = 30, limit: int = 50) -> list[dict]:
         now = self.clock()

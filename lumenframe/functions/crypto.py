@@ -29,6 +29,27 @@ def new_key() -> str:
     return os.urandom(32).hex()
 
 
+def export_key(key: str | None, path: str) -> None:
+    """Writes the key to a file that only its owner may read, for another machine; an existing file isn't overwritten."""
+    key = key or key_from_environment()
+    if not key:
+        raise ValueError("no key to export")
+    handle = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600)
+    with os.fdopen(handle, "w", encoding="utf-8") as file:
+        file.write(key + "\n")
+
+
+def import_key(path: str, environment: bool = True) -> str:
+    """The key of an exported file; with ``environment`` this process uses it from now on. A blank file is refused."""
+    with open(path, encoding="utf-8") as file:
+        key = file.read().strip()
+    if not key:
+        raise ValueError("the file holds no key")
+    if environment:
+        os.environ[KEY_VARIABLE] = key
+    return key
+
+
 def _key(key: str) -> Column:
     return F.lit(bytearray(hashlib.sha256(key.encode()).digest()))
 

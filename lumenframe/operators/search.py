@@ -384,17 +384,17 @@ class SearchIndex:
     def __init__(self, spark, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def add(self, frames: DataFrame) -> None:
-        """Indexes more frames as a segment of its own; nothing that is there is written again."""
-        segment = uuid.uuid4().hex
+    def add(self, frames: DataFrame, segment: str | None = None) -> None:
+        """Indexes more frames as a segment of its own; only a segment of the same name is written again."""
+        segment = segment or uuid.uuid4().hex
         terms = term_strings(frames)
         size = sum((F.size(F.split(F.trim(f"t_{c}"), " ")) - (F.trim(f"t_{c}") == "").cast("int") for c in COLUMNS), F.lit(0))
-        terms.select("id", "timestamp", size.alias("size")).write.parquet(f"{self.path}/sizes/segment={segment}")
+        terms.select("id", "timestamp", size.alias("size")).write.mode("overwrite").parquet(f"{self.path}/sizes/segment={segment}")
         texts = F.explode(F.array(*[F.struct(F.lit(i).cast("tinyint").alias("column"), F.col(f"t_{c}").alias("t")) for i, c in enumerate(COLUMNS)]))
         single = terms.select("id", texts.alias("x")).where(F.trim("x.t") != "")
         single = single.select("id", "x.column", F.posexplode(F.split(F.trim("x.t"), " ")).alias("position", "term"))
         postings = single.groupBy("id", "column", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.path}/postings/segment={segment}")
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{self.path}/postings/segment={segment}")
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema("term string, id long, column tinyint, positions array<int>").parquet(f"{self.path}/postings/*")

@@ -11,6 +11,7 @@ from lumenframe.functions.runtime import ensure_checkpoint_dir, read_table
 from lumenframe.functions.timeparse import parse_natural_time
 from lumenframe.operators import frames as R
 from lumenframe.operators import maintain as M
+from lumenframe.sources.store import MemoryStore
 from lumenframe.sources.tables import session_gap_seconds
 from lumenframe.streaming import pipeline
 
@@ -127,7 +128,45 @@ def stream_changed(spark, sf_dir):
     return _run(spark, pipeline.changed_only(_stream(spark, sf_dir)).select("capture_id", "user_id", "phash"))
 
 
+def stream_unrepeated(spark, sf_dir):
+    return _run(spark, pipeline.unrepeated(_stream(spark, sf_dir)).select("capture_id", "user_id", "timestamp"))
+
+
+def _store(spark) -> MemoryStore:
+    return MemoryStore(spark, f"{_folder(spark)}/store")
+
+
+def store_roundtrip(spark, sf_dir):
+    """Frames added to a store in two batches, one of them tried twice, and read again for one day."""
+    store, frames = _store(spark), _frames(spark, sf_dir).withColumn("extra_context", F.col("id").cast("string"))
+    for batch in (0, 1, 1):
+        store.append(frames.where(F.col("id") % 2 == batch), "batches", batch)
+    now = _now(spark, sf_dir)
+    return store.frames(now - M.DAY, now).select(F.col("extra_context").cast("long").alias("frame"), "timestamp", "app_name")
+
+
+def store_maintained(spark, sf_dir):
+    """A store after cutting, dropping repeats and pruning; the days that are gone are deleted."""
+    store, now = _store(spark), _now(spark, sf_dir)
+    store.append(_frames(spark, sf_dir).withColumn("extra_context", F.col("id").cast("string")))
+    store.auto_maintain(now, max_mb=0)
+    store.vacuum()
+    return store.frames().select(F.col("extra_context").cast("long").alias("frame"), F.char_length("text").cast("long").alias("characters"))
+
+
+def store_search(spark, sf_dir):
+    """Ranks by the store's index of postings."""
+    store = _store(spark)
+    store.append(_frames(spark, sf_dir).withColumn("project", F.col("id").cast("string")))
+    found = store.search_index().matching("lighthouse OR telescopes")
+    return found.join(store.frames(), "id").select(F.col("project").cast("long").alias("frame"), F.round("rank", 6).alias("rank"))
+
+
 QUERIES = {
+    "store_roundtrip": store_roundtrip,
+    "store_maintained": store_maintained,
+    "store_search": store_search,
+    "stream_unrepeated": stream_unrepeated,
     "compress_old": compress_old,
     "compress_report": compress_report,
     "prune": prune,

@@ -11,9 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumenframe.functions.ocr import clean
 from lumenframe.functions.redact import redact_columns, redact_text
+from lumenframe.operators.dedup import bits_between
 from lumenframe.operators.frames import with_text, without_ignored
 
-STATE = "last_hash string, last_time double"
 KEPT = "user_id long, timestamp double, capture_id long, app_name string, window_title string, text string, extra_context string, phash string"
 
 
@@ -55,48 +55,82 @@ def sessions(captures: DataFrame, gap_seconds: float) -> DataFrame:
     return out.select("user_id", "start", "end", "frame_count")
 
 
-def _distance(a: str, b: str) -> int | None:
-    try:
-        return (int(a, 16) ^ int(b, 16)).bit_count() if len(a) == len(b) == 16 else None
-    except ValueError:
-        return None
+def _keyed(captures: DataFrame, decide, memory: str, idle: str) -> DataFrame:
+    """Captures of each user that ``decide`` keeps, in order of time across micro-batches.
 
+    ``decide(memory, times, apps, hashes)`` gives the flags of one micro-batch's captures in order and the new memory, whose
+    first value is the newest time seen. Captures older than that come too late and are dropped. A task holds one user's
+    captures of one micro-batch (bounded by the source's options) and the memory, which ends after ``idle`` without captures.
+    """
+    pause = int(pd.Timedelta(idle).total_seconds() * 1000)
+    columns = [c.split()[0] for c in KEPT.split(", ")]
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "capture_id"], kind="stable")
+        if before is not None and before[0] is not None:
+            rows = rows[~(rows["timestamp"] < before[0])]
+        values = (rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in ("timestamp", "app_name", "phash"))
+        keep, after = decide(before, *values)
+        state.update(after)
+        state.setTimeoutDuration(pause)
+        yield rows[keep]
+
+    grouped = captures.select(*columns).groupBy("user_id")
+    return grouped.applyInPandasWithState(run, KEPT, memory, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _newest(before, times) -> float | None:
+    seen = [t for t in times if t is not None] + ([before[0]] if before and before[0] is not None else [])
+    return float(max(seen)) if seen else None
 
-def _emit_changed(key, batches: Iterator[pd.DataFrame], state: GroupState, threshold: int) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else (None, None)
-    known, newest = last
-    rows = pd.concat(list(batches)).sort_values(["timestamp", "capture_id"], kind="stable")
-    kept = []
-    for row in rows.itertuples(index=False):
-        distance = _distance(row.phash or "", known) if known else None
-        if distance is None or distance >= threshold:
-            kept.append(row)
-            known = row.phash if row.phash else known
-            newest = row.timestamp
-    state.update((known, newest))
-    yield pd.DataFrame(kept, columns=rows.columns)
 
+def changed_only(captures: DataFrame, threshold: int = 6, idle: str = "7 days") -> DataFrame:
+    """Captures whose hash differs from the user's last emitted one; unknown hashes always pass and keep the old one."""
 
-def changed_only(captures: DataFrame, threshold: int = 6) -> DataFrame:
-    """Captures whose hash differs from the user's last emitted one; unknown hashes always pass and keep the old one.
+    def decide(before, times, apps, hashes):
+        known, keep = before[1] if before else None, []
+        for phash in hashes:
+            bits = bits_between(phash, known)
+            keep.append(bits is None or bits >= threshold)
+            known = phash if keep[-1] and phash else known
+        return keep, (_newest(before, times), known)
 
-    State is one hash and one time per user. Rows of a micro-batch are taken in order of time.
+    return _keyed(captures, decide, "newest double, known string", idle)
+
+
+def unrepeated(captures: DataFrame, window_seconds: float = 60.0, idle: str = "7 days") -> DataFrame:
+    """Captures without those that show the application and hash of the user's last kept one less than a window later.
+
+    A dropped capture doesn't move the comparison. Unknown hashes pass and don't end it, as in the batch form.
     """
 
-    def run(key, batches, state):
-        return _emit_changed(key, batches, state, threshold)
+    def decide(before, times, apps, hashes):
+        app, known, anchor = before[1:] if before else (None, None, None)
+        keep = []
+        for t, a, h in zip(times, apps, hashes):
+            drop = bool(h) and t is not None and anchor is not None and (a, h) == (app, known) and t - anchor < window_seconds
+            if not drop and h and t is not None:
+                app, known, anchor = a, h, t
+            keep.append(not drop)
+        return keep, (_newest(before, times), app, known, anchor)
+
+    return _keyed(captures, decide, "newest double, app string, known string, anchor double", idle)
 
-    columns = [c.split()[0] for c in KEPT.split(", ")]
-    return captures.select(*columns).groupBy("user_id").applyInPandasWithState(run, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def ingest(captures: DataFrame, store, config_loader, checkpoint: str, available_now: bool = True, interval: str = "10 seconds", name: str = "captures", changes_only: bool = False):
+    """Appends a stream of captures to a store; the settings are loaded anew for every micro-batch.
 
-def ingest(captures: DataFrame, store, config_loader, checkpoint: str, available_now: bool = True, interval: str = "10 seconds"):
-    """Appends a stream of captures to a store; the settings are loaded anew for every micro-batch."""
+    With ``changes_only`` a user's captures of an unchanged screen are left out first. ``name`` tells streams apart:
+    the store keeps the last micro-batch of each and adds one that is tried again only once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ready = prepare(batch, config_loader())
-        if not ready.isEmpty():
-            store.append(ready)
+        store.append(prepare(batch, config_loader()), name, batch_id)
 
+    captures = changed_only(captures) if changes_only else captures
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
