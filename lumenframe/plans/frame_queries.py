@@ -85,7 +85,7 @@ o AS (SELECT g.user_id, g.segment, app_name, start, coalesce(lead(start) OVER (P
       frame_count, coalesce(titles, []) AS titles FROM g LEFT JOIN l USING (user_id, segment))
 """
 _DAY = f'(SELECT * FROM frames WHERE "timestamp" > {_N} - 86400)'
-_DEDUP = """
+DEDUP = """
 WITH RECURSIVE o AS (SELECT user_id, id, "timestamp" AS t, app_name, phash, row_number() OVER (PARTITION BY user_id ORDER BY "timestamp", id) AS n
                      FROM frames WHERE phash <> ''),
 f AS (SELECT user_id, n, id, t AS anchor, app_name, phash, false AS dropped FROM o WHERE n = 1
@@ -147,8 +147,8 @@ SQL = {
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f)::INT AS rank, sum(n) OVER (PARTITION BY user_id) AS all_n FROM c)
         SELECT user_id, rank, '  ' || coalesce(app_name, '') || ': ~' || round(n * 10.0 / 60, 1) || 'min (' || round(n / all_n * 100, 0)::INT || '%)' AS line
         FROM r WHERE rank <= 5""",
-    "dedup_removed": _DEDUP + "SELECT id FROM f WHERE dropped",
-    "dedup_kept": _DEDUP + "SELECT id FROM frames WHERE id NOT IN (SELECT id FROM f WHERE dropped)",
+    "dedup_removed": DEDUP + "SELECT id FROM f WHERE dropped",
+    "dedup_kept": DEDUP + "SELECT id FROM frames WHERE id NOT IN (SELECT id FROM f WHERE dropped)",
     "phash_hamming": _STEPS + "SELECT id, previous_id, bits FROM h",
     "phash_changed": CHANGES.replace("{rows}", 'SELECT user_id, id, "timestamp" AS t, phash FROM frames') + "SELECT id, changed FROM f",
 }

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from lumenframe.functions import crypto
 from lumenframe.functions.runtime import ensure_checkpoint_dir, read_table
 from lumenframe.functions.timeparse import parse_natural_time
+from lumenframe.functions.redact import PATTERNS
 from lumenframe.operators import frames as R
 from lumenframe.operators import maintain as M
+from lumenframe.plans.frame_queries import CHANGES, DEDUP
+from lumenframe.plans.text_queries import fts_sql, hits, repaired_sql
 from lumenframe.sources.store import MemoryStore
 from lumenframe.sources.tables import session_gap_seconds
 from lumenframe.streaming import pipeline
@@ -191,7 +194,39 @@ _BY_GAP = """WITH r AS (SELECT user_id, "timestamp" AS t, "timestamp" - lag("tim
       OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM r)
     SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS frame_count FROM s GROUP BY user_id, n"""
 
+_CUT = """CASE WHEN "timestamp" < {n} - 3 * 86400 AND len(text) > 500 AND NOT starts_with(text, 'ENC:') THEN substring(text, 1, 500) ELSE text END""".replace("{n}", _N)
+#: Repeats of the last day by recursion, then cut texts without them and without what is older than 7 days.
+_MAINTAINED = DEDUP.replace("WHERE phash <> ''", f"""WHERE phash <> '' AND "timestamp" > {_N} - 86400""") + f""", kept AS (
+    SELECT id, len({_CUT})::{{kind}} AS characters FROM frames WHERE id NOT IN (SELECT id FROM f WHERE dropped) AND coalesce("timestamp" >= {_N} - 7 * 86400, true))"""
+_UNREPEATED = DEDUP.replace(", id,", ", capture_id AS id,", 1).replace('"timestamp", id)', '"timestamp", capture_id)').replace("FROM frames", "FROM captured")
+
+
+def _prepared_sql() -> str:
+    """The stream's steps over plain text: ignore list, blanks, words, contextual repairs, secrets, the settings' own patterns."""
+    own = "(SELECT '(?i)' || privacy_patterns['desk_code'][1] FROM config)"
+
+    def redacted(column: str) -> str:
+        for name, pattern in PATTERNS:
+            column = f"""regexp_replace({column}, '{pattern.replace("'", "''")}', '[REDACTED:{name}]', 'g')"""
+        return f"regexp_replace({column}, {own}, '[REDACTED:desk_code]', 'g')"
+
+    kept = """c AS (SELECT row_number() OVER () AS n, capture_id, text, window_title FROM captured
+        WHERE lower(coalesce(app_name, '')) NOT IN (SELECT lower(unnest(ignore_apps)) FROM config)
+        AND regexp_replace(text, '\\s+', '', 'g') <> '' AND NOT starts_with(text, '[OCR unavailable'))"""
+    return f"WITH {kept}" + repaired_sql("c", "text", "n", True) + f" SELECT c.capture_id, {redacted('done.x')} AS text, {redacted('c.window_title')} AS window_title FROM done JOIN c USING (n)"
+
+
 SQL = {
+    "store_roundtrip": f"""SELECT id AS frame, "timestamp", coalesce(app_name, '') AS app_name FROM frames WHERE "timestamp" BETWEEN {_N} - 86400 AND {_N}""",
+    "store_maintained": _MAINTAINED.replace("{kind}", "BIGINT") + " SELECT id AS frame, characters FROM kept",
+    "store_search": f"SELECT id AS frame, rank FROM ({fts_sql([hits("x = 'lighthouse'"), hits("regexp_matches(x, '^telescop(?:e|es|ed|ing)$')")], 'h0 > 0 OR h1 > 0')})",
+    "auto_maintain": _MAINTAINED.replace("{kind}", "INT") + " SELECT id, characters FROM kept",
+    "stream_prepared": _prepared_sql(),
+    "stream_changed": CHANGES.replace("{rows}", 'SELECT user_id, capture_id AS id, "timestamp" AS t, phash FROM captured')
+    + "SELECT o.id AS capture_id, o.user_id, o.phash FROM f JOIN o ON o.user_id = f.user_id AND o.n = f.n WHERE f.changed",
+    "stream_unrepeated": _UNREPEATED
+    + """ SELECT id AS capture_id, f.user_id, o.t AS "timestamp" FROM f JOIN o USING (user_id, n, id) WHERE NOT dropped
+    UNION ALL SELECT capture_id, user_id, "timestamp" FROM captured WHERE coalesce(phash, '') = ''""",
     "compress_old": f"""SELECT id, CASE WHEN "timestamp" < {_N} - 3 * 86400 AND len(text) > 500 AND NOT starts_with(text, 'ENC:') THEN substring(text, 1, 500) ELSE text END AS text FROM frames""",
     "compress_report": f"""SELECT count(*) AS compressed, coalesce(sum(len(text) - 500), 0)::BIGINT AS characters_saved FROM frames
         WHERE "timestamp" < {_N} - 3 * 86400 AND len(text) > 500 AND NOT starts_with(text, 'ENC:')""",

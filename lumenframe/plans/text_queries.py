@@ -35,6 +35,8 @@ def _secrets(spark, sf_dir):
         .when(k % 17 == 0, F.concat(F.lit(" Bearer abcdefghijklmnopqrst"), digits))
         .when(k % 19 == 0, F.concat(F.lit(" password: hunter"), digits, F.lit(" mysql://root@host/"), digits))
         .when(k % 23 == 0, F.concat(F.lit(" AKIAABCDEFGHIJKL"), digits, F.lit(" api_key = 'abcdefghijklmnop"), digits, F.lit("'")))
+        .when(k % 29 == 0, F.concat(F.lit(" sk-abcdefghijklmnop"), digits, F.lit(" credential: abcdefghijklmnopqrstuvwxyz012345"), digits))
+        .when(k % 31 == 0, F.concat(F.lit(" -----BEGIN RSA PRIVATE KEY-----\n"), digits, F.lit("\n-----END RSA PRIVATE KEY----- done")))
         .otherwise("")
     )
     return _ascii(spark, sf_dir).withColumn("text", F.concat("text", secret))
@@ -95,6 +97,7 @@ SEARCHES = {
     "fts_column": "window_title : lighthouse",
     "fts_phrase": '"payroll audit"',
     "fts_near": "NEAR(payroll needs, 4)",
+    "fts_near_three": "NEAR(payroll audit needs, 6)",
     "fts_first": "^when + the",
 }
 
@@ -104,7 +107,16 @@ def _match(query):
 
 
 def fts_search(spark, sf_dir):
-    return S.search(_frames(spark, sf_dir), "reviewing budgets", limit=20)
+    """The best frames for words in other forms than theirs, with what is shown beside the snippet."""
+    return S.search(_frames(spark, sf_dir), "reviewing budgets", limit=20).select("id", F.round("rank", 6).alias("rank"), "app_name", "window_title")
+
+
+def fts_snippets(spark, sf_dir):
+    return S.search(_frames(spark, sf_dir), "reviewing budgets", limit=20).select("id", "text")
+
+
+def fts_stemmed(spark, sf_dir):
+    return S.matching(_frames(spark, sf_dir), "audits OR reviewing").select("id", F.round("rank", 6).alias("rank"))
 
 
 def smart_search(spark, sf_dir):
@@ -135,6 +147,8 @@ QUERIES = {
     "topic_coherence": topic_coherence,
     **{name: _match(query) for name, query in SEARCHES.items()},
     "fts_search": fts_search,
+    "fts_snippets": fts_snippets,
+    "fts_stemmed": fts_stemmed,
     "smart_search": smart_search,
     "encrypted_search": substring_search,
 }
@@ -151,6 +165,10 @@ _SECRETS = f"""WITH {_ASCII}, s AS (SELECT id, text || CASE
     WHEN id % 13 = 0 THEN ' card 4000 1234-5678 ' || lpad((id % 10000)::VARCHAR, 4, '0')
     WHEN id % 17 = 0 THEN ' Bearer abcdefghijklmnopqrst' || lpad((id % 10000)::VARCHAR, 4, '0')
     WHEN id % 19 = 0 THEN ' password: hunter' || lpad((id % 10000)::VARCHAR, 4, '0') || ' mysql://root@host/' || lpad((id % 10000)::VARCHAR, 4, '0')
+    WHEN id % 29 = 0 AND NOT (id % 11 = 0 OR id % 13 = 0 OR id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0)
+        THEN ' sk-abcdefghijklmnop' || lpad((id % 10000)::VARCHAR, 4, '0') || ' credential: abcdefghijklmnopqrstuvwxyz012345' || lpad((id % 10000)::VARCHAR, 4, '0')
+    WHEN id % 31 = 0 AND NOT (id % 11 = 0 OR id % 13 = 0 OR id % 17 = 0 OR id % 19 = 0 OR id % 23 = 0)
+        THEN ' -----BEGIN RSA PRIVATE KEY-----' || chr(10) || lpad((id % 10000)::VARCHAR, 4, '0') || chr(10) || '-----END RSA PRIVATE KEY----- done'
     WHEN id % 23 = 0 THEN ' AKIAABCDEFGHIJKL' || lpad((id % 10000)::VARCHAR, 4, '0') || ' api_key = ''abcdefghijklmnop' || lpad((id % 10000)::VARCHAR, 4, '0') || ''''
     ELSE '' END AS x0 FROM a)"""
 
@@ -170,18 +188,42 @@ _TYPE_LIST = "list_filter([" + ", ".join(
 _COUNT = " + ".join(f"c{i}" for i in range(len(PATTERNS)))
 
 
-def _repair_sql() -> str:
-    out = "text"
-    for pattern, replacement, _ in ocr.REPAIRS:
+def _repair_steps():
+    """(name, count of {x}, replacement in {x}) of each contextual repair; no look-around in this engine."""
+    for pattern, replacement, name in ocr.REPAIRS:
         new = replacement.replace("$1", "\\1")
-        if pattern.startswith("(?<=[a-zA-Z])"):  # no look-around: twice, for overlapping letters
+        if pattern.startswith("(?<=[a-zA-Z])"):  # twice, for overlapping letters; doubled letters keep neighbours apart in the count
             digit = pattern[len("(?<=[a-zA-Z])")]
-            for _ in range(2):
-                out = f"regexp_replace({out}, '([a-zA-Z]){digit}([a-zA-Z])', '\\1{new}\\2', 'g')"
+            once = f"regexp_replace({{x}}, '([a-zA-Z]){digit}([a-zA-Z])', '\\1{new}\\2', 'g')"
+            count = f"len(regexp_extract_all(regexp_replace({{x}}, '([a-zA-Z])', '\\1\\1', 'g'), '[a-zA-Z]{digit}[a-zA-Z]'))"
+            yield name, count, once.replace("{x}", once)
             continue
         plain = pattern.replace(r"(?<!\w)", r"\b").replace(r"(?=/|\b)", r"\b")
-        out = f"regexp_replace({out}, '{plain}', '{new}', 'g')"
-    return f"WITH {_ASCII} SELECT id, {out} AS text FROM a"
+        yield name, f"len(regexp_extract_all({{x}}, '{plain}'))", f"regexp_replace({{x}}, '{plain}', '{new}', 'g')"
+
+
+def repaired_sql(table: str, text: str, key: str = "id", words: bool = False) -> str:
+    """CTEs r0 .. of ``table``: ``key, x, c0 ..``: the text after each repair and how often the repair was made. Last: ``done``."""
+    out = f", w AS (SELECT {key}, {text} AS raw, {text} AS x FROM {table})"
+    if words:  # one word after the other, longest first: no replacement is a word to replace
+        for i, word in enumerate(sorted(ocr.WORDS, key=lambda w: (-len(w), w))):
+            out += f", w{i} AS (SELECT {key}, raw, CASE WHEN contains(x, '{word}') THEN regexp_replace(x, '\\b{word}\\b', '{ocr.WORDS[word]}', 'g') ELSE x END AS x FROM w{i - 1 if i else ''})"
+    last = f"w{len(ocr.WORDS) - 1}" if words else "w"
+    steps = list(_repair_steps())
+    for i, (_, count, new) in enumerate(steps):
+        cols = ", ".join(f"c{j}" for j in range(i)) + (", " if i else "")
+        out += f", r{i} AS (SELECT {key}, raw, {cols}{count.replace('{x}', 'x')} AS c{i}, {new.replace('{x}', 'x')} AS x FROM {last})"
+        last = f"r{i}"
+    return out + f", done AS (SELECT * FROM {last})"
+
+
+def _stats_sql() -> str:
+    names = [name for name, _, _ in _repair_steps()]
+    parts = [f"""CASE WHEN c{i} > 0 THEN '"regex:{n}":' || c{i} END""" for i, n in enumerate(names)]
+    words = f"""'"word_substitutions":' || len(regexp_extract_all(raw, '{_q(ocr.word_pattern())}'))"""
+    total = """'"regex_fixes_total":' || (""" + " + ".join(f"c{i}" for i in range(len(names))) + ")"
+    listed = f"list_filter([{words}, {', '.join(parts)}, {total}], lambda p: p IS NOT NULL)"
+    return f"CASE WHEN raw = '' THEN '{{}}' ELSE '{{' || array_to_string({listed}, ',') || '}}' END"
 
 
 def _signs_sql() -> str:
@@ -224,7 +266,7 @@ def _tokens_sql(column: str) -> str:
 _TOKENS = "WITH t AS (SELECT id, " + ", ".join(f"{_tokens_sql(c)} AS t_{c}" for c in _COLS) + " FROM frames), b AS (SELECT *, " + " + ".join(f"len(t_{c})" for c in _COLS) + " AS size FROM t)"
 
 
-def _fts_sql(leaves: list[str], holds: str, score: list[str] | None = None) -> str:
+def fts_sql(leaves: list[str], holds: str, score: list[str] | None = None) -> str:
     """leaves: hit counts h0.. of a frame; score: hit counts that score, the leaves if none are given."""
     score = score or leaves
     cols = ", ".join([f"{x} AS h{i}" for i, x in enumerate(leaves)] + [f"{x} AS f{i}" for i, x in enumerate(score)])
@@ -236,7 +278,7 @@ def _fts_sql(leaves: list[str], holds: str, score: list[str] | None = None) -> s
     return f"{_TOKENS}, r AS (SELECT id, size, {cols} FROM b), g AS (SELECT count(*) AS total, avg(size) AS mean_size, {stats} FROM r) SELECT id, round(-({terms}), 6) AS rank FROM r, g WHERE {holds}"
 
 
-def _hits(test: str, columns=_COLS) -> str:
+def hits(test: str, columns=_COLS) -> str:
     return "(" + " + ".join(f"len(list_filter(t_{c}, lambda x: {test}))" for c in columns) + ")"
 
 
@@ -245,16 +287,45 @@ def _seq(words: list[str], columns=_COLS) -> str:
     return "(" + " + ".join(f"len(list_filter(range(1, len(t_{c}) + 1), lambda i: coalesce({tests.replace('{c}', c)}, false)))" for c in columns) + ")"
 
 
-_TERM = {w: _hits(f"x = '{w}'") for w in ("lighthouse", "sudden", "migration", "telescope", "turbine", "payroll", "needs")}
-_NEAR = "CASE WHEN " + " OR ".join(
-    f"len(list_filter(range(1, len(t_{c}) + 1), lambda i: t_{c}[i] = 'payroll' AND list_contains(t_{c}[greatest(1, i - 5):i + 5], 'needs'))) > 0" for c in _COLS
-) + " THEN 1 ELSE 0 END"
+_TERM = {w: hits(f"x = '{w}'") for w in ("lighthouse", "sudden", "migration", "telescope", "turbine", "payroll", "needs")}
+def _at(word: str, column: str) -> str:
+    return f"list_filter(range(1, len(t_{column}) + 1), lambda i: t_{column}[i] = '{word}')"
+
+
+# A clump: some start m such that each word has a start from m - 1 - n to m; its members are the starts that stand in one.
+def _near_sql(words: list[str], n: int) -> str:
+    def clump(word: str, c: str) -> str:
+        others = " AND ".join(f"len(list_filter(p_{c}_{w}, lambda r: r <= m AND m - r - 1 <= {n})) > 0" for w in words if w != word)
+        every = f"flatten([{', '.join(f'p_{c}_{w}' for w in words)}])"
+        return f"len(list_filter(p_{c}_{word}, lambda s: len(list_filter({every}, lambda m: s <= m AND m - s - 1 <= {n} AND {others})) > 0))"
+
+    places = ", ".join(f"{_at(w, c)} AS p_{c}_{w}" for c in _COLS for w in words)
+    members = [" + ".join(clump(w, c) for c in _COLS) + f" AS f{i}" for i, w in enumerate(words)]
+    whole = [" + ".join(f"len(p_{c}_{w})" for c in _COLS) + f" AS g{i}" for i, w in enumerate(words)]
+    stats = ", ".join(f"count(*) FILTER (WHERE g{i} > 0) AS n{i}" for i in range(len(words)))
+    terms = " + ".join(
+        f"CASE WHEN f{i} > 0 THEN greatest(ln((total - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / mean_size)) ELSE 0 END"
+        for i in range(len(words))
+    )
+    return f"""{_TOKENS}, p AS (SELECT id, size, {places} FROM b), r AS (SELECT id, size, {", ".join(members + whole)} FROM p),
+    g AS (SELECT count(*) AS total, avg(size) AS mean_size, {stats} FROM r) SELECT id, round(-({terms}), 6) AS rank FROM r, g WHERE f0 > 0"""
+
+
+#: Words of the tables that share a stem with those of the stemmed queries.
+REVIEW, BUDGET, AUDIT = (r"'^(?:%s)$'" % w for w in ("review(?:s|ed|ing)?", "budget(?:s|ed|ing)?", "audit(?:s|ed|ing)?"))
+
+
+def _like(pattern: str) -> str:
+    return hits(f"regexp_matches(x, {pattern})")
+
 
 SQL = {
     "redact_text": _redact_sql(" SELECT id, x{last} AS text FROM s{last}"),
     "redact_counts": _redact_sql(f" SELECT id, ({_COUNT})::INT AS redacted_count, {_TYPE_LIST} AS redacted_types FROM s{{last}}"),
     "redact_by_type": _redact_sql(f" SELECT redacted_type, count(*) AS frames FROM (SELECT unnest({_TYPE_LIST}) AS redacted_type FROM s{{last}}) GROUP BY 1"),
-    "ocr_clean_regex": _repair_sql(),
+    "ocr_clean_regex": f"WITH {_ASCII}" + repaired_sql("a", "text") + " SELECT id, x AS text FROM done",
+    "ocr_clean_words": f"WITH {_ASCII}" + repaired_sql("a", "text", words=True) + " SELECT id, x AS text FROM done",
+    "ocr_stats": f"WITH {_ASCII}" + repaired_sql("a", "text", words=True) + f" SELECT id, x AS text, {_stats_sql()} AS stats FROM done",
     "ocr_confidence": _signs_sql(),
     "tokenize_terms": _TERMS + " SELECT id, list_sort(terms) AS terms FROM k",
     "doc_freq": _WEIGHTS + " SELECT term, df FROM d",
@@ -268,15 +339,19 @@ SQL = {
     + """, own AS (SELECT min(id) AS id FROM a WHERE len(text) > 300),
     qv AS (SELECT term, 0 AS position, weight AS q FROM v WHERE id = (SELECT id FROM own))"""
     + _COSINE.replace("{shared}", "").replace("{other}", "v.id <> (SELECT id FROM own)").replace("{k}", "5"),
-    "fts_term": _fts_sql([_TERM["lighthouse"]], "h0 > 0"),
-    "fts_and": _fts_sql([_TERM["lighthouse"], _TERM["sudden"], _TERM["migration"]], "h0 > 0 AND h1 > 0 AND h2 > 0"),
-    "fts_or": _fts_sql([_TERM["lighthouse"], _TERM["telescope"]], "h0 > 0 OR h1 > 0"),
-    "fts_not": _fts_sql([_TERM["lighthouse"], _TERM["turbine"]], "h0 > 0 AND h1 = 0"),
-    "fts_prefix": _fts_sql([_hits("starts_with(x, 'light')")], "h0 > 0"),
-    "fts_column": _fts_sql([_hits("x = 'lighthouse'", ["window_title"])], "h0 > 0"),
-    "fts_phrase": _fts_sql([_seq(["payroll", "audit"])], "h0 > 0"),
-    "fts_near": _fts_sql([_NEAR], "h0 > 0", [_TERM["payroll"], _TERM["needs"]]),
-    "fts_first": _fts_sql(["(" + " + ".join(f"CASE WHEN coalesce(t_{c}[1] = 'when' AND t_{c}[2] = 'the', false) THEN 1 ELSE 0 END" for c in _COLS) + ")"], "h0 > 0"),
+    "fts_term": fts_sql([_TERM["lighthouse"]], "h0 > 0"),
+    "fts_and": fts_sql([_TERM["lighthouse"], _TERM["sudden"], _TERM["migration"]], "h0 > 0 AND h1 > 0 AND h2 > 0"),
+    "fts_or": fts_sql([_TERM["lighthouse"], _TERM["telescope"]], "h0 > 0 OR h1 > 0"),
+    "fts_not": fts_sql([_TERM["lighthouse"], _TERM["turbine"]], "h0 > 0 AND h1 = 0"),
+    "fts_prefix": fts_sql([hits("starts_with(x, 'light')")], "h0 > 0"),
+    "fts_column": fts_sql([hits("x = 'lighthouse'", ["window_title"])], "h0 > 0"),
+    "fts_phrase": fts_sql([_seq(["payroll", "audit"])], "h0 > 0"),
+    "fts_near": _near_sql(["payroll", "needs"], 4),
+    "fts_near_three": _near_sql(["payroll", "audit", "needs"], 6),
+    "fts_stemmed": fts_sql([_like(AUDIT), _like(REVIEW)], "h0 > 0 OR h1 > 0"),
+    "fts_search": f"""SELECT id, rank, coalesce(app_name, '') AS app_name, coalesce(window_title, '') AS window_title FROM
+        ({fts_sql([_like(REVIEW), _like(BUDGET)], "h0 > 0 AND h1 > 0").replace("round(-(", "(-(").replace(", 6) AS rank", ") AS exact, round(exact, 6) AS rank")} ORDER BY exact, id LIMIT 20) JOIN frames USING (id)""",
+    "fts_first": fts_sql(["(" + " + ".join(f"CASE WHEN coalesce(t_{c}[1] = 'when' AND t_{c}[2] = 'the', false) THEN 1 ELSE 0 END" for c in _COLS) + ")"], "h0 > 0"),
     "encrypted_search": """WITH f1 AS (SELECT * FROM frames WHERE app_name ILIKE '%kestrel%' OR project ILIKE '%kestrel%' ORDER BY "timestamp" DESC, id DESC LIMIT 100),
     h1 AS (SELECT id, "timestamp" AS t, 1 AS stage FROM f1 WHERE lower(text || ' ' || coalesce(window_title, '') || ' ' || coalesce(extra_context, '')) LIKE '%kestrel%'),
     f2 AS (SELECT * FROM frames WHERE "timestamp" > (SELECT max("timestamp") + 1 FROM frames) - 7200 ORDER BY "timestamp" DESC, id DESC LIMIT 500),

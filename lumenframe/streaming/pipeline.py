@@ -55,12 +55,13 @@ def sessions(captures: DataFrame, gap_seconds: float) -> DataFrame:
     return out.select("user_id", "start", "end", "frame_count")
 
 
-def _keyed(captures: DataFrame, decide, memory: str, idle: str) -> DataFrame:
+def _keyed(captures: DataFrame, decide, memory: str, idle: str, delay: str = "1 hour") -> DataFrame:
     """Captures of each user that ``decide`` keeps, in order of time across micro-batches.
 
     ``decide(memory, times, apps, hashes)`` gives the flags of one micro-batch's captures in order and the new memory, whose
     first value is the newest time seen. Captures older than that come too late and are dropped. A task holds one user's
-    captures of one micro-batch (bounded by the source's options) and the memory, which ends after ``idle`` without captures.
+    captures of one micro-batch (bounded by the source's options) and the memory, which ends when event time has gone on
+    for ``idle`` without captures of the user.
     """
     pause = int(pd.Timedelta(idle).total_seconds() * 1000)
     columns = [c.split()[0] for c in KEPT.split(", ")]
@@ -76,11 +77,13 @@ def _keyed(captures: DataFrame, decide, memory: str, idle: str) -> DataFrame:
         values = (rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in ("timestamp", "app_name", "phash"))
         keep, after = decide(before, *values)
         state.update(after)
-        state.setTimeoutDuration(pause)
-        yield rows[keep]
+        newest = 0 if after[0] is None else int(after[0] * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + pause)
+        yield rows.loc[keep, columns]
 
-    grouped = captures.select(*columns).groupBy("user_id")
-    return grouped.applyInPandasWithState(run, KEPT, memory, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    stamped = captures if "ts" in captures.columns else with_event_time(captures, delay)
+    grouped = stamped.select(*columns, "ts").groupBy("user_id")
+    return grouped.applyInPandasWithState(run, KEPT, memory, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _newest(before, times) -> float | None:
