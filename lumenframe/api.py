@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
 
@@ -54,18 +55,45 @@ class Service:
         window = self._frames(now - 60.0 * minutes)
         rows = self._rows(frames.focus_stats(window, now, minutes, self.config.get("capture_interval", 10)))
         switches = activity.context_switches(window.where(F.col("timestamp") > now - 60.0 * minutes)).agg(F.sum("switches")).head()[0] or 0
-        apps = {r.pop("app_name"): r for r in rows}
-        return {"apps": apps, "switches": switches, "total_frames": sum(r["frames"] for r in apps.values()), "period_minutes": minutes}
+        total, interval = sum(r["frames"] for r in rows), self.config.get("capture_interval", 10)
+        apps = {r["app_name"]: self._share(r["frames"], total, interval) for r in rows}
+        return {"apps": apps, "switches": switches, "total_frames": total, "period_minutes": minutes}
 
-    def activity(self, minutes: float = 60) -> str:
+    @staticmethod
+    def _share(frames: int, total: int, interval: float) -> dict:
+        """Minutes and percent rounded as Python does, to the even digit of the exact binary value."""
+        return {"frames": frames, "estimated_minutes": round(frames * interval / 60, 1), "percent": round(frames / total * 100, 1)}
+
+    def activity(self, minutes: float = 60, limit: int = 500) -> str:
+        """The newest ``limit`` segments of each window in words, in order, and the most used applications."""
         now = self.clock()
-        window = self._frames(now - 60.0 * minutes)
-        lines = activity.activity_lines(window, now, minutes).orderBy("user_id", "segment").collect()  # one per segment of the window
-        if not lines:
+        window = self._frames(now - 60.0 * minutes).where(F.col("timestamp") > now - 60.0 * minutes)
+        found = activity.app_segments(window)
+        newest = self._rows(found.orderBy(F.desc("start"), "user_id", F.desc("segment")).limit(limit))
+        if not newest:
             return f"No activity in the last {minutes:g} minutes."
-        focus = activity.focus_lines(window, now, minutes, self.config.get("capture_interval", 10)).orderBy("user_id", "rank").collect()
-        head = f"Activity of the last {minutes:g} minutes:"
-        return "\n".join([head, *(r.line for r in lines), "", "Focus:", *(r.line for r in focus)])
+        lines = [f"Activity of the last {minutes:g} minutes:"]
+        for r in sorted(newest, key=lambda r: (r["user_id"], r["segment"])):
+            at = datetime.fromtimestamp(r["start"], timezone.utc).strftime("%H:%M")
+            titles = " — " + ", ".join(r["titles"][:2]) if r["titles"] else ""
+            lines.append(f"  {at} | {r['app_name'] or ''} ({max((r['end'] - r['start']) / 60, 0.15):.0f}min){titles}")
+        focus = self._rows(frames.focus_stats(window, now, minutes, self.config.get("capture_interval", 10)))
+        total, interval = sum(r["frames"] for r in focus), self.config.get("capture_interval", 10)
+        lines += ["", "Focus:"]
+        for r in focus[:5]:
+            share = r["frames"] / total * 100
+            lines.append(f"  {r['app_name'] or ''}: ~{round(r['frames'] * interval / 60, 1)}min ({share:.0f}%)")
+        return "\n".join(lines)
+
+    def sessions(self, hours: float = 8, limit: int = 200) -> list[dict]:
+        """The newest ``limit`` sessions of the last ``hours``, oldest first."""
+        start = self.clock() - 3600.0 * hours
+        window = self._frames(start).where(F.col("timestamp") > start)
+        found = activity.session_report(window, 60.0 * self.config.get("session_gap_minutes", 15))
+        rows = self._rows(found.orderBy(F.desc("start"), "user_id").limit(limit))
+        for r in rows:
+            r["duration_minutes"] = round(max((r["end"] - r["start"]) / 60, 0.5), 1)
+        return sorted(rows, key=lambda r: (r["start"], r["user_id"]))
 
     def stats(self) -> dict:
         return self.store.stats()

@@ -56,15 +56,30 @@ def session_report(frames: DataFrame, gap_seconds: float = 900.0) -> DataFrame:
     )
 
 
+def _in_segments(frames: DataFrame) -> DataFrame:
+    rows = with_previous(in_cells(frames), ["app_name", "timestamp"])
+    begins = F.col("previous").isNull() | ~F.col("previous.app_name").eqNullSafe(F.col("app_name"))
+    return with_running_sum(rows, begins, "segment")
+
+
+def segment_samples(frames: DataFrame) -> DataFrame:
+    """``user_id, segment, sample``: the start of the last text of each segment that isn't blank; null where all are.
+
+    Of a text the first 200 characters are looked at, and at most 150 of these stay after outer blanks are gone.
+    """
+    start = F.substring(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), r"(?U)^\s+|\s+$", ""), 1, 150)
+    rows = _in_segments(frames.select(*_NARROW, start.alias("start")))
+    kept = F.when(F.col("start") != "", F.struct("timestamp", "id", "start"))
+    return rows.groupBy("user_id", "segment").agg(F.max(kept)["start"].alias("sample"))
+
+
 def app_segments(frames: DataFrame) -> DataFrame:
     """``user_id, segment, app_name, start, end, frame_count, titles``: stretches of one application.
 
     A segment ends where the next begins, the last at its last frame. ``titles`` are the distinct non-empty window
     titles in order of first appearance.
     """
-    rows = with_previous(in_cells(frames.select(*_NARROW, "window_title")), ["app_name", "timestamp"])
-    begins = F.col("previous").isNull() | ~F.col("previous.app_name").eqNullSafe(F.col("app_name"))
-    rows = with_running_sum(rows, begins, "segment")
+    rows = _in_segments(frames.select(*_NARROW, "window_title"))
     titles = rows.groupBy("user_id", "segment", "app_name", F.coalesce("window_title", F.lit("")).alias("title")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("timestamp", "id")).alias("first"), F.max("timestamp").alias("last")
     )

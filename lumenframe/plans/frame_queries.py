@@ -52,6 +52,7 @@ QUERIES = {
     "sessions": lambda spark, d: A.session_report(_frames(spark, d), session_gap_seconds(spark, d)),
     "session_top_app": lambda spark, d: A.session_report(_frames(spark, d), session_gap_seconds(spark, d)).select("user_id", "start", "top_app"),
     "app_segments": lambda spark, d: A.app_segments(_frames(spark, d)),
+    "segment_samples": lambda spark, d: A.segment_samples(_frames(spark, d)),
     "activity_lines": partial(_at_now, A.activity_lines, minutes=1440),
     "focus_lines": partial(_at_now, A.focus_lines, minutes=1440),
     "dedup_removed": lambda spark, d: D.duplicate_ids(_frames(spark, d)),
@@ -139,6 +140,11 @@ SQL = {
         round(minutes, 0)::INT || 'min — ' || array_to_string([x.app || ' (' || round(x.n / frame_count * 100, 0)::INT || '%)' FOR x IN top[1:3]], ', ') AS summary FROM m""",
     "session_top_app": _SESSIONS + "SELECT user_id, start, top[1].app AS top_app FROM m",
     "app_segments": _SEGMENTS.replace("{frames}", "frames") + "SELECT * FROM o",
+    "segment_samples": """WITH r AS (SELECT user_id, id, "timestamp" AS t, substring(regexp_replace(substring(text, 1, 200), '^\\s+|\\s+$', '', 'g'), 1, 150) AS x,
+          CASE WHEN row_number() OVER w = 1 OR app_name IS DISTINCT FROM lag(app_name) OVER w THEN 1 ELSE 0 END AS b
+          FROM frames WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", id)),
+        s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY t, id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM r)
+        SELECT user_id, segment, arg_max(x, {'t': t, 'i': id}) FILTER (WHERE x <> '') AS sample FROM s GROUP BY ALL""",
     "activity_lines": _SEGMENTS.replace("{frames}", _DAY)
     + """SELECT user_id, segment, '  ' || strftime(make_timestamp((start * 1000000)::BIGINT), '%H:%M') || ' | ' || coalesce(app_name, '') || ' ('
         || round(greatest(("end" - start) / 60, 0.15), 0)::INT || 'min)'

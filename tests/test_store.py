@@ -4,6 +4,8 @@ import urllib.error
 import urllib.request
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lumenframe import api
 from lumenframe.cache import Answers
 from lumenframe.functions import crypto
 from lumenframe.functions.timeparse import parse_natural_time
+from lumenframe.operators import dedup
 from lumenframe.operators.dedup import duplicate_ids, has_changed
 from lumenframe.sources.store import MemoryStore, load_config
 from lumenframe.streaming import pipeline
@@ -76,6 +79,60 @@ def test_dedup_anchor(make_frames):
     assert duplicate_ids(make_frames([])).count() == 0
 
 
+def test_a_stretch_of_a_million_rows_is_folded_row_by_row():
+    """An unchanging screen, every ten seconds: each minute's first row stays, and no batch grows."""
+    n = 1_000_000
+    ids = np.arange(n, dtype=np.int64)
+    size = 10_000
+    batches = (
+        pa.record_batch([pa.array(np.ones(size, np.int64)), pa.array(np.ones(size, np.int64)), pa.array(ids[a : a + size] * 10.0), pa.array(ids[a : a + size])], names=["u", "s", "t", "i"])
+        for a in range(0, n, size)
+    )
+    dropped = np.concatenate([np.asarray(b.column(0)) for b in dedup._after_anchors(batches, 60.0)])
+    assert np.array_equal(dropped, ids[ids % 6 != 0])
+
+
+def test_changed_against_the_last_changed_frame(make_frames):
+    hashes = ["0" * 16, "0" * 15 + "7", "0" * 14 + "3f", "0" * 14 + "3F", None, "0" * 14 + "3e", "bad", "0" * 16, "0" * 16, ""]
+    want = [True, False, True, False, True, False, True, True, False, True]
+    frames = make_frames([{"id": i, "timestamp": float(i // 2), "phash": h} for i, h in enumerate(hashes)])
+    got = {r.id: r.changed for r in dedup.changed_frames(frames).collect()}
+    assert [got[i] for i in range(len(hashes))] == want and dedup.changed_frames(make_frames([])).count() == 0
+
+
+def test_a_batch_tried_again_is_stored_once(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([(NOW - 86400.0 * d, f"budget {d}") for d in range(10)], "timestamp double, text string")
+    assert [store.append(rows, "a", 0), store.append(rows, "a", 0), store.append(rows, "b", 0), store.append(rows, "a", 1)] == [10, 0, 10, 10]
+    assert sorted(r.id for r in store.frames().collect()) == list(range(1, 31))
+    assert store.search_index().matching("budget").count() == 30
+    store.append(rows.limit(1))
+    assert store.search_index().matching("budget").count() == 31  # the index is kept in step
+    assert store.prune(NOW, 2.5) == 21 and store.frames().count() == 10 and store.search_index().matching("budget").count() == 10
+    assert store.vacuum() > 0 and store.frames().count() == 10 and store.prune(NOW, 2.5) == 0
+    store._put("LOCK", "x", False)
+    with pytest.raises(TimeoutError), store._turn(wait=0.5):
+        pass
+
+
+def test_keys_and_home(tmp_path, monkeypatch):
+    monkeypatch.setenv("LUMENFRAME_HOME", str(tmp_path / "home"))
+    monkeypatch.setenv(crypto.KEY_VARIABLE, "")
+    assert load_config()["capture_interval"] == 10 and (tmp_path / "home" / "settings.json").exists()
+    (tmp_path / "home" / "settings.json").write_text('{"capture_interval": 20, "x": 1}')
+    assert load_config()["capture_interval"] == 20
+    with pytest.raises(ValueError):
+        crypto.export_key(None, str(tmp_path / "k"))
+    crypto.export_key("secret", str(tmp_path / "k"))
+    assert crypto.import_key(str(tmp_path / "k")) == "secret" == crypto.key_from_environment() and (tmp_path / "k").stat().st_mode & 0o77 == 0
+    with pytest.raises(FileExistsError):
+        crypto.export_key("other", str(tmp_path / "k"))
+
+
+def test_exact_rounding():
+    assert api.Service._share(1, 16, 15)["percent"] == 6.2 and api.Service._share(247, 2000, 10)["percent"] == 12.3
+
+
 def test_changed(spark):
     rows = [("0" * 16, "0" * 15 + "7", False), ("0" * 16, "0" * 14 + "3f", True), ("0" * 16, "0" * 14 + "1F", False), ("", "0" * 16, True), (None, "x", True), ("zz", "0" * 16, True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
@@ -104,6 +161,7 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in service.search("hello")] == [11] and service.latest()["id"] == 11
     assert service.during("today")[0]["id"] == 11 and service.smart_search("budget")
     assert service.focus(60)["total_frames"] == 2 and service.focus(60)["switches"] == 1
+    assert [(r["top_app"], r["frame_count"]) for r in service.sessions(1)] == [("Notes", 2)]
     assert "Mail" in service.activity(60) and service.activity(0) == "No activity in the last 0 minutes."
     server = api.serve(service)
     threading.Thread(target=server.serve_forever, daemon=True).start()
