@@ -71,6 +71,18 @@ def word_pattern(extra: dict[str, str] | None = None) -> str:
     return r"\b(" + "|".join(map(re.escape, words)) + r")\b"
 
 
+def _word_hits(text: Column, extra: dict[str, str] | None = None) -> Column:
+    """How many of the dictionary's words stand in a text: its words are looked up, only keys of several words are searched."""
+    table = {**WORDS, **(extra or {})}
+    single = [w for w in table if re.fullmatch(r"\w+", w)]
+    others = [w for w in table if w not in set(single)]
+    if set(single) & {part for w in others for part in re.findall(r"\w+", w)}:  # the longer key would count alone
+        return F.regexp_count(text, F.lit("(?U)" + word_pattern(extra)))
+    hits = F.size(F.filter(F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.isin(single)))
+    pattern = r"(?U)\b(" + "|".join(map(re.escape, sorted(others, key=lambda w: (-len(w), w)))) + r")\b"
+    return hits + F.regexp_count(text, F.lit(pattern)) if others else hits
+
+
 def repair_context(text: Column) -> Column:
     """The contextual repairs alone, all in the JVM; null gives ''."""
     out = F.coalesce(text, F.lit(""))
@@ -90,7 +102,7 @@ def replace_words(text: Column, extra: dict[str, str] | None = None) -> Column:
         return values.map(lambda v: None if v is None else compiled.sub(lambda m: table[m.group()], v))
 
     text = F.coalesce(text, F.lit(""))
-    hit = text.rlike("(?U)" + pattern)
+    hit = _word_hits(text, extra) > 0
     return F.coalesce(replace(F.when(hit, text)), text)
 
 
@@ -104,7 +116,7 @@ def confidence(text: Column, extra: dict[str, str] | None = None) -> Column:
     text = F.coalesce(text, F.lit(""))
     stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     words = F.size(F.split(stripped, r"(?U)\s+"))
-    errors = sum((F.regexp_count(text, F.lit("(?U)" + p)) for p in [*SIGNS, word_pattern(extra)]), F.lit(0))
+    errors = sum((F.regexp_count(text, F.lit("(?U)" + p)) for p in SIGNS), _word_hits(text, extra))
     score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - errors / words / F.lit(WORST))), 3)
     return F.when(stripped == "", F.lit(0.0)).otherwise(score)
 
@@ -118,7 +130,7 @@ def clean_with_stats(text: Column, extra: dict[str, str] | None = None) -> Colum
         java = F.lit("(?U)" + pattern)
         counts.append((f"regex:{name}", F.regexp_count(current, java)))
         current = F.regexp_replace(current, java, F.lit(replacement))
-    entries = [F.struct(F.lit("word_substitutions").alias("key"), F.regexp_count(raw, F.lit("(?U)" + word_pattern(extra))).alias("value"))]
+    entries = [F.struct(F.lit("word_substitutions").alias("key"), _word_hits(raw, extra).alias("value"))]
     entries += [F.when(c > 0, F.struct(F.lit(name).alias("key"), c.alias("value"))) for name, c in counts]
     entries.append(F.struct(F.lit("regex_fixes_total").alias("key"), sum((c for _, c in counts), F.lit(0)).alias("value")))
     stats = F.map_from_entries(F.array_compact(F.array(*entries)))

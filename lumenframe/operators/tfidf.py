@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.runtime import materialize
+from lumenframe.functions.runtime import materialize, stored
 from lumenframe.functions.terms import frame_terms, terms
 
 DIGITS = 12
@@ -49,7 +49,7 @@ def _cosine(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
 
 def search(frames: DataFrame, query: str, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
     """``id, similarity, shared_terms`` of the frames likest to ``query``; unknown terms only lengthen the query."""
-    vectors = weights(frames) if vectors is None else vectors
+    vectors = stored(weights(frames)) if vectors is None else vectors  # read three times, computed once
     asked = frames.sparkSession.createDataFrame([(query,)], "query string").select(F.posexplode(terms(F.col("query"))).alias("position", "term"))
     asked = asked.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position"))
     idf = vectors.join(F.broadcast(asked.select("term")), "term", "left_semi").groupBy("term").agg(F.first("idf").alias("idf"))
@@ -60,7 +60,7 @@ def search(frames: DataFrame, query: str, k: int = 10, vectors: DataFrame | None
 
 def similar(frames: DataFrame, frame_id: int, k: int = 5, vectors: DataFrame | None = None) -> DataFrame:
     """Frames likest to one frame, itself left out; an unknown id gives no rows."""
-    vectors = weights(frames) if vectors is None else vectors
+    vectors = stored(weights(frames)) if vectors is None else vectors
     own = vectors.where(F.col("id") == frame_id).select("term", F.col("weight").alias("q"))
     own = own.withColumn("position", F.row_number().over(Window.partitionBy().orderBy("term")))  # the terms of one frame
     return _cosine(vectors.where(F.col("id") != frame_id), own, k)
