@@ -145,21 +145,30 @@ def _looked_up(path: str, known):
     return run
 
 
+class _Sizes(dict):
+    """Words to numbers of ids; unknown words count 0 and are noted with their occurrences."""
+
+    def __init__(self, known: dict):
+        super().__init__(known)
+        self.unknown: Counter = Counter()
+
+    def __missing__(self, word):
+        self.unknown[word] += 1
+        return 0
+
+
 def _measured(path: str, known):
     """(kept columns, text) to the kept columns, the number of ids of the text's known words and its words that aren't known."""
 
     def run(batches):
-        tokenizer, sizes_of = _tokenizer(path), {w: len(ids) for w, ids in known.value.items()}
+        tokenizer, table = _tokenizer(path), _Sizes({w: len(ids) for w, ids in known.value.items()})
         for batch in batches:
             *kept, texts = batch.columns
             sizes, rare = [], []
             for text in texts.to_pylist():
-                counts: Counter = Counter()
-                for words in words_of(text, tokenizer) if text else ():
-                    counts.update(words)
-                unknown = counts.keys() - sizes_of.keys()
-                sizes.append(sum(sizes_of[w] * n for w, n in counts.items() if w in sizes_of))
-                rare.append([(w, counts[w]) for w in unknown])
+                sizes.append(sum(sum(map(table.__getitem__, words)) for words in words_of(text, tokenizer)) if text else 0)
+                rare.append(list(table.unknown.items()))
+                table.unknown.clear()
             if sizes:
                 yield _found_rows(kept, 0, len(sizes), pa.array(sizes, pa.int64()), rare)
 
