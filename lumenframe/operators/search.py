@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import reduce
 
@@ -275,56 +276,67 @@ def _phrase_hits(phrase: Phrase) -> Column:
     return sum((F.regexp_count(F.col(f"t_{c}"), pattern) for c in phrase.columns), F.lit(0))
 
 
-def _starts(phrase: Phrase, column: str) -> Column:
-    """Positions in a column's terms at which the phrase begins."""
-    terms = F.split(F.trim(F.col(f"t_{column}")), " ")
+def _starts(phrase: Phrase, terms: list[str]) -> list[int]:
+    """Positions at which the phrase begins."""
+    words, last = phrase.words, len(phrase.words) - 1
+    if not words or phrase.first and len(terms) < len(words):
+        return []
+    ends = (lambda t: t.startswith(words[last])) if phrase.prefix else (lambda t: t == words[last])
+    places = range(1 if phrase.first else max(0, len(terms) - last))
+    return [i for i in places if terms[i : i + last] == list(words[:last]) and ends(terms[i + last])]
 
-    def here(i):
-        tests = [
-            F.get(terms, i + j).startswith(w) if phrase.prefix and j == len(phrase.words) - 1 else F.get(terms, i + j) == w
-            for j, w in enumerate(phrase.words)
-        ]
-        return F.coalesce(reduce(lambda a, b: a & b, tests, F.lit(bool(tests))), F.lit(False)) & (i == 0 if phrase.first else F.lit(True))
-
-    return F.filter(F.sequence(F.lit(0), F.size(terms) - 1), here)
 
-
-def near_hits(starts: list[Column], lengths: list[int], distance: int) -> list[Column]:
-    """For each phrase the number of its starts that stand in a clump of all phrases.
+def clump_hits(starts: list, lengths: list[int], distance: int) -> list[int]:
+    """For each phrase the number of its starts (sorted) that stand in a clump of all phrases.
 
     A clump has one start of each phrase, and at most ``distance`` terms between the end of any of them and the last
     start; a phrase may overlap another.
     """
-    every = F.flatten(F.array(*starts))
+    kept: list[set] = [set() for _ in starts]
+    for last in sorted({x for each in starts for x in each}) if all(len(each) for each in starts) else ():
+        spans = [(bisect_left(each, last - n - distance), bisect_right(each, last)) for each, n in zip(starts, lengths)]
+        if all(low < high for low, high in spans):
+            for one, each, (low, high) in zip(kept, starts, spans):
+                one.update(each[low:high])
+    return [len(one) for one in kept]
 
-    def reaches(start, length, last):
-        return (start <= last) & (last - start - length <= distance)
 
-    def has_one(j, last):
-        return F.exists(starts[j], lambda start: reaches(start, lengths[j], last))
+def _near_hits(leaf: Near) -> Column:
+    """Array of the hits of each phrase of a NEAR group in one frame.
 
-    def stands(k):
-        def in_clump(start):
-            def ends(last):
-                others = [has_one(j, last) for j in range(len(starts)) if j != k]
-                return reduce(lambda a, b: a & b, others, reaches(start, lengths[k], last))
+    Positions are looked at in Python, only of columns in which all phrases occur.
+    """
+    parts, lengths, distance = leaf.parts, [len(p.words) for p in leaf.parts], leaf.distance
+    columns = [c for c in leaf.columns if all(c in p.columns for p in parts)]
 
-            return F.exists(every, ends)
+    @F.pandas_udf("array<int>")
+    def count(*series: pd.Series) -> pd.Series:
+        out = []
+        for values in zip(*series):
+            total = [0] * len(parts)
+            for value in values:
+                if value is not None:
+                    terms = value.split()
+                    total = [a + b for a, b in zip(total, clump_hits([_starts(p, terms) for p in parts], lengths, distance))]
+            out.append(total)
+        return pd.Series(out)
 
-        return F.size(F.filter(starts[k], in_clump))
+    def likely(c):
+        return reduce(lambda a, b: a & b, [F.col(f"t_{c}").rlike(" " + _phrase_pattern(p)) for p in parts])
 
-    return [stands(k) for k in range(len(starts))]
+    if not columns:
+        return F.array(*[F.lit(0)] * len(parts))
+    return count(*[F.when(likely(c), F.col(f"t_{c}")) for c in columns])
 
 
-def _near_columns(leaf: Near) -> list[Column]:
-    """Hits of each phrase of a NEAR group in one frame; positions are looked at only where all phrases occur."""
-    totals = [F.lit(0)] * len(leaf.parts)
-    for c in leaf.columns:
-        starts = [_starts(p, c) if c in p.columns else F.array().cast("array<int>") for p in leaf.parts]
-        found = near_hits(starts, [len(p.words) for p in leaf.parts], leaf.distance)
-        likely = reduce(lambda a, b: a & b, [F.col(f"t_{c}").rlike(" " + _phrase_pattern(p)) for p in leaf.parts])
-        totals = [t + F.when(likely, f).otherwise(0) for t, f in zip(totals, found)]
-    return totals
+def _near_places(lengths: list[int], distance: int):
+    """The same for arrays of positions."""
+
+    @F.pandas_udf("array<int>")
+    def count(*series: pd.Series) -> pd.Series:
+        return pd.Series([clump_hits([x.tolist() for x in values], lengths, distance) for values in zip(*series)])
+
+    return count
 
 
 def _holds(tree, at: dict) -> Column:
@@ -357,13 +369,16 @@ def matching(frames: DataFrame, query: str, stemmed: bool = True, plain: bool =
     tree = _stem_query(tree) if stemmed else tree
     terms = term_strings(frames, stemmed)
     size = sum((F.length(f"t_{c}") - F.length(F.replace(F.col(f"t_{c}"), F.lit(" "))) - 1 for c in COLUMNS), F.lit(0))
+    groups = [leaf for leaf in dict.fromkeys(_leaves(tree)) if isinstance(leaf, Near) and len(leaf.parts) > 1]
+    terms = terms.withColumns({f"n{n}": _near_hits(group) for n, group in enumerate(groups)})
     hits, scores, counted = [], [], []
     for leaf in dict.fromkeys(_leaves(tree)):
-        hits.append(reduce(F.least, _near_columns(leaf)) if isinstance(leaf, Near) and len(leaf.parts) > 1 else _phrase_hits(_only(leaf)))
+        near = leaf in groups and [F.col(f"n{groups.index(leaf)}")[k] for k in range(len(leaf.parts))]
+        hits.append(F.least(*near) if near else _phrase_hits(_only(leaf)))
     for leaf in _leaves(tree):
-        near = isinstance(leaf, Near) and len(leaf.parts) > 1
+        near = leaf in groups and [F.col(f"n{groups.index(leaf)}")[k] for k in range(len(leaf.parts))]
         counted += [_phrase_hits(p) for p in (leaf.parts if near else [_only(leaf)])]
-        scores += _near_columns(leaf) if near else [_phrase_hits(_only(leaf))]
+        scores += near or [_phrase_hits(_only(leaf))]
     columns = [c.alias(f"{name}{i}") for name, every in (("h", hits), ("f", scores), ("g", counted)) for i, c in enumerate(every)]
     rows = terms.select("id", "timestamp", size.alias("size"), *columns)
     return _scored(rows, tree, rows.agg(F.count(F.lit(1)).alias("total"), F.avg("size").alias("mean_size")))
@@ -420,15 +435,18 @@ class SearchIndex:
             at = F.filter(at, lambda x: x == 0) if phrase.first else at
             return F.when(F.col("column").isin([COLUMNS.index(c) for c in phrase.columns]), at).otherwise(F.array().cast("array<int>"))
 
-        def near(leaf: Near) -> list[Column]:
-            return near_hits([starts(_within(p, leaf.columns)) for p in leaf.parts], [len(p.words) for p in leaf.parts], leaf.distance)
-
-        hits = [reduce(F.least, near(x)) if isinstance(x, Near) and len(x.parts) > 1 else F.size(starts(_only(x))) for x in leaves]
-        scores, counted = [], []
+        groups = [leaf for leaf in leaves if isinstance(leaf, Near) and len(leaf.parts) > 1]
+        for n, leaf in enumerate(groups):
+            places = [starts(_within(p, leaf.columns)) for p in leaf.parts]
+            cells = cells.withColumn(f"n{n}", _near_places([len(p.words) for p in leaf.parts], leaf.distance)(*places))
+        hits, scores, counted = [], [], []
+        for leaf in leaves:
+            near = leaf in groups and [F.col(f"n{groups.index(leaf)}")[k] for k in range(len(leaf.parts))]
+            hits.append(F.least(*near) if near else F.size(starts(_only(leaf))))
         for leaf in _leaves(tree):
-            group = isinstance(leaf, Near) and len(leaf.parts) > 1
-            counted += [F.size(starts(p)) for p in (leaf.parts if group else [_only(leaf)])]
-            scores += near(leaf) if group else [F.size(starts(_only(leaf)))]
+            near = leaf in groups and [F.col(f"n{groups.index(leaf)}")[k] for k in range(len(leaf.parts))]
+            counted += [F.size(starts(p)) for p in (leaf.parts if near else [_only(leaf)])]
+            scores += near or [F.size(starts(_only(leaf)))]
         names = [(f"{name}{i}", c) for name, every in (("h", hits), ("f", scores), ("g", counted)) for i, c in enumerate(every)]
         rows = cells.select("id", *[c.alias(n) for n, c in names]).groupBy("id").agg(*[F.sum(n).alias(n) for n, _ in names])
         sizes = self.sizes()
